@@ -16,27 +16,61 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_CODEC = "lz4"
+_CODEC = "zstd"
 #: Cells that are worked on at once.
 BATCH = 400_000
 #: Bits of a tile's number for the block of samples and the block of bands.
 _XB, _BB = 20, 12
 
 
+#: Decimal places that are tried before a column of doubles is kept as it is.
+_PLACES = (0, 2, 4, 6)
+_NAN, _INF = -(2**31), 2**31 - 1
+
+
+def _as_decimals(v: np.ndarray) -> tuple[int, np.ndarray]:
+    """(places, whole numbers) if every double is exactly a number of so few places, else (-1, v). Lossless."""
+    finite = np.isfinite(v)
+    w = v if finite.all() else np.where(finite, v, 0.0)
+    if len(w) and np.abs(w).max() < 1000:
+        for places in _PLACES:
+            q = np.rint(w * 10.0**places)
+            if not (q / 10.0**places == w).all() or (np.signbit(w) & (w == 0)).any():
+                continue
+            if w is not v:
+                q[np.isnan(v)], q[v == np.inf], q[v == -np.inf] = _NAN, _INF, -_INF
+            return places, q.astype("<i4")
+    return -1, v
+
+
 def pack_arrays(**arrays: np.ndarray) -> bytes:
     """Arrays of one length, one after the other, compressed. The caller knows the types and the order."""
-    raw = b"".join(np.ascontiguousarray(a).tobytes() for a in arrays.values())
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec=_CODEC, asbytes=True)
+    head, parts = b"", []
+    for a in arrays.values():
+        if a.dtype == np.float64:
+            places, a = _as_decimals(a)
+            head += bytes([places + 1])
+        parts.append(np.ascontiguousarray(a).tobytes())
+    raw = b"".join(parts)
+    n = len(next(iter(arrays.values())))
+    return n.to_bytes(4, "little") + len(raw).to_bytes(8, "little") + head + (pa.compress(raw, codec=_CODEC, asbytes=True) if raw else b"")
 
 
 def unpack_arrays(blob: bytes, **types: str) -> dict[str, np.ndarray]:
-    size = int.from_bytes(blob[:8], "little")
-    raw = pa.decompress(blob[8:], decompressed_size=size, codec=_CODEC, asbytes=True) if size else b""
-    n = size // sum(np.dtype(t).itemsize for t in types.values())
+    n, size = int.from_bytes(blob[:4], "little"), int.from_bytes(blob[4:12], "little")
+    doubles = [c for c, t in types.items() if t == "<f8"]
+    places = {c: blob[12 + i] - 1 for i, c in enumerate(doubles)}
+    raw = pa.decompress(blob[12 + len(doubles) :], decompressed_size=size, codec=_CODEC, asbytes=True) if size else b""
     out, at = {}, 0
-    for name, t in types.items():
-        out[name] = np.frombuffer(raw, t, n, at)
-        at += n * np.dtype(t).itemsize
+    for c, t in types.items():
+        kind = "<i4" if places.get(c, -1) >= 0 else t
+        a = np.frombuffer(raw, kind, n, at)
+        at += a.nbytes
+        if kind != t:
+            odd = np.flatnonzero((a == _NAN) | (a == _INF) | (a == -_INF))
+            whole, a = a, a / 10.0 ** places[c]
+            a[odd] = np.where(whole[odd] == _NAN, np.nan, np.where(whole[odd] > 0, np.inf, -np.inf))
+        out[c] = a
     return out
 
 

@@ -4,9 +4,10 @@ The source is the scene; a band has a normal level of its own (the spectrum repe
 part of a season). Three steps:
 
 1. Tiles of packed readings (cells.pack, with a halo of RUN - 1 lines for runs across tiles): deliveries that repeat
-   count once; runs along the lines; median and median absolute deviation per band, or, where a scene has several tiles, a
-   count per value on a fine grid; a bounded random pool of readings by smallest hash.
-2. A profile per scene: medians and deviations per band (from the added counts where there are several tiles), and the pool.
+   count once; runs along the lines; a profile of the tile: median and median absolute deviation per band, and a bounded
+   random pool of readings by smallest hash.
+2. Scenes of several tiles get one profile: medians and deviations from the added counts per value on a fine grid, the
+   smallest hashes of all pools. It reaches the tiles by broadcast if its counted size is small, else by shuffle.
 3. An isolation forest per scene, grown from its profile in every task that holds a tile of it, scores every reading on
    level, difference, seasonal and run-length features. Explicit rules for physical limits and stuck runs apply to all
    readings; readings with a score above ``min_score`` are spike candidates, which an exact check on the scene's band
@@ -29,6 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cubeframe.operators.cells import by_tile, pack, pack_arrays, readings, together, unpack_arrays
+from cubeframe.session import BROADCAST_BYTES, broadcast_if_small
 
 LOW, HIGH = 0.0, 1.25  # physical limits of a reflectance
 RUN = 6  # lines of a stuck run
@@ -38,11 +40,12 @@ WEIGHTS = (0.2, 0.25, 0.4, 0.15)  # chance of a split on level, difference, seas
 GRID = 1e-6  # step of the counts from which medians of scenes with several tiles are taken
 MIN_SCORE = 0.36
 LINES, SAMPLES, BANDS = 512, 32, 16
+#: At most, of a scene: POOL readings and, of up to some thousand bands, a median and a deviation.
+_PROFILE_BYTES = 32 << 10
 
-_FEATURED = {"y": "<i4", "x": "<i4", "band": "<i4", "run": "<i4", "value": "<f8", "diff": "<f8"}
-_HIST = {"band": "<i4", "bin": "<i4", "n": "<i4"}
+_FEATURED = {"y": "<i4", "x": "<i4", "band": "<i4", "run": "<i1", "value": "<f8"}
 _STATS = {"band": "<i4", "median": "<f8", "mad": "<f8"}
-_POOL = {"prio": "<i8", "band": "<i4", "run": "<i4", "value": "<f8", "diff": "<f8"}
+_POOL = {"prio": "<i8", "band": "<i4", "run": "<i1", "value": "<f8", "diff": "<f8"}
 
 
 def _mix(*columns: np.ndarray) -> np.ndarray:
@@ -66,24 +69,31 @@ def _group_median(group: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndar
     return g[first], (s[first + (n - 1) // 2] + s[first + n // 2]) / 2
 
 
+def _differences(source: np.ndarray, a: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(whether the reading before is the same sample and band one line up, the difference to it or 0)."""
+    v, follows = a["value"], np.zeros(len(source), bool)
+    if not len(v):
+        return follows, v
+    follows[1:] = (source[1:] == source[:-1]) & (a["x"][1:] == a["x"][:-1]) & (a["band"][1:] == a["band"][:-1]) & (a["y"][1:] == a["y"][:-1] + 1)
+    with np.errstate(invalid="ignore"):
+        diff = np.where(follows, v - np.r_[0.0, v[:-1]], 0.0)
+    diff[~np.isfinite(diff)] = 0.0
+    return follows, diff
+
+
 def _prepare(tiles: list[list[dict]]) -> pa.RecordBatch:
     """Step 1, over whole tiles."""
     k, a = readings(tiles)
     tile = np.array([rows[0]["tile"] for rows in tiles], np.int64)
     n = len(k)
-    same_line = np.zeros(n, bool)
-    if n:
-        same_line[1:] = (k[1:] == k[:-1]) & (a["x"][1:] == a["x"][:-1]) & (a["band"][1:] == a["band"][:-1]) & (a["y"][1:] == a["y"][:-1] + 1)
+    follows, _ = _differences(k, a)
     v = a["value"]
-    with np.errstate(invalid="ignore"):
-        diff = np.where(same_line, v - np.r_[0.0, v[:-1]], 0.0) if n else v
-    diff = np.where(np.isfinite(diff), diff, 0.0)
-    starts = np.flatnonzero(~(same_line & (np.r_[np.nan, v[:-1]] == v))) if n else np.zeros(0, int)
+    starts = np.flatnonzero(~(follows & (np.r_[np.nan, v[:-1]] == v))) if n else np.zeros(0, int)
     length = np.diff(np.r_[starts, n])
-    run = np.minimum(np.repeat(length, length), RUN)
+    run = np.minimum(np.repeat(length, length), RUN).astype(np.int8)
     own = (a["y"].astype(np.int64) // LINES) == (tile[k] >> 32)
-    k, run, diff, a = k[own], run[own], diff[own], {c: x[own] for c, x in a.items()}
-    v = a["value"]
+    k, run, a = k[own], run[own], {c: x[own] for c, x in a.items()}
+    v, diff = a["value"], _differences(k, a)[1]
     ok = (v >= LOW) & (v <= HIGH)
     nb = int(a["band"].max()) + 1 if len(k) else 1
     group = (k * nb + a["band"])[ok]
@@ -95,46 +105,47 @@ def _prepare(tiles: list[list[dict]]) -> pa.RecordBatch:
     pool_k = k[ok][pool]
     rank = np.arange(len(pool)) - np.searchsorted(pool_k, pool_k)
     pool, pool_k = np.flatnonzero(ok)[pool][rank < POOL], pool_k[rank < POOL]
-    bins = np.rint(v[ok] / GRID).astype(np.int64)
 
-    bounds, at = np.searchsorted(k, np.arange(len(tiles) + 1)), np.searchsorted(groups, np.arange(len(tiles) + 1) * nb)
-    pools, oks = np.searchsorted(pool_k, np.arange(len(tiles) + 1)), np.searchsorted(k[ok], np.arange(len(tiles) + 1))
-    out = {c: [] for c in ("scene", "tile", "n", "cells", "stats", "hist", "pool")}
+    every = np.arange(len(tiles) + 1)
+    bounds, at, pools = np.searchsorted(k, every), np.searchsorted(groups, every * nb), np.searchsorted(pool_k, every)
+    out = {c: [] for c in ("scene", "tile", "n", "cells", "stats", "pool")}
     for i, rows in enumerate(tiles):
-        s, g, p, o = slice(bounds[i], bounds[i + 1]), slice(at[i], at[i + 1]), pool[pools[i] : pools[i + 1]], slice(oks[i], oks[i + 1])
+        s, g, p = slice(bounds[i], bounds[i + 1]), slice(at[i], at[i + 1]), pool[pools[i] : pools[i + 1]]
         if s.stop == s.start:
             continue
         out["scene"].append(rows[0]["scene"])
         out["tile"].append(rows[0]["tile"])
         out["n"].append(s.stop - s.start)
-        out["cells"].append(pack_arrays(y=a["y"][s], x=a["x"][s], band=a["band"][s], run=run[s].astype("<i4"), value=v[s], diff=diff[s]))
+        out["cells"].append(pack_arrays(y=a["y"][s], x=a["x"][s], band=a["band"][s], run=run[s], value=v[s]))
         out["stats"].append(pack_arrays(band=(groups[g] - i * nb).astype("<i4"), median=med[g], mad=mad[g]))
-        out["pool"].append(pack_arrays(prio=prio[p], band=a["band"][p], run=run[p].astype("<i4"), value=v[p], diff=diff[p]))
-        code, count = np.unique((group[o] - i * nb) * (1 << 32) + bins[o], return_counts=True)
-        out["hist"].append(pack_arrays(band=(code >> 32).astype("<i4"), bin=(code & 0xFFFFFFFF).astype("<i4"), n=count.astype("<i4")))
-    kinds = [pa.string(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+        out["pool"].append(pack_arrays(prio=prio[p], band=a["band"][p], run=run[p], value=v[p], diff=diff[p]))
+    kinds = [pa.string(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out.values(), kinds)], names=list(out))
 
 
-def _unpacked(rows: DataFrame, column: str, types: dict[str, str], schema: str) -> DataFrame:
-    """scene, tile and one row for each element of the packed arrays in a column."""
+def _unpacked(rows: DataFrame, column: str, schema: str, f) -> DataFrame:
+    """scene, tile and the columns that f makes of the packed arrays in a column."""
 
     def run(batches):
         for batch in batches:
             for scene, tile, blob in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                a = unpack_arrays(blob, **types)
+                a = f(blob)
                 n = len(next(iter(a.values())))
                 yield pa.RecordBatch.from_arrays([pa.array([scene] * n, pa.string()), pa.array([tile] * n, pa.int64()), *(pa.array(x) for x in a.values())], names=["scene", "tile", *a])
 
     return rows.select("scene", "tile", column).mapInArrow(run, f"scene string, tile bigint, {schema}")
 
 
-def _several_tiles(prepared: DataFrame) -> DataFrame:
-    """Profiles of the scenes with more than one tile, from added counts and the smallest hashes of all their pools."""
-    several = prepared.groupBy("scene").agg(F.count("*").alias("c")).where("c > 1").select("scene")
-    rows = prepared.join(several, "scene", "left_semi")
+def _value_counts(blob: bytes) -> dict[str, np.ndarray]:
+    a = unpack_arrays(blob, **_FEATURED)
+    ok = (a["value"] >= LOW) & (a["value"] <= HIGH)
+    code, n = np.unique(a["band"][ok].astype(np.int64) << 32 | np.rint(a["value"][ok] / GRID).astype(np.int64), return_counts=True)
+    return {"band": (code >> 32).astype(np.int32), "bin": (code & 0xFFFFFFFF).astype(np.int32), "n": n.astype(np.int32)}
+
 
-    hist = _unpacked(rows, "hist", _HIST, "band int, bin int, n int").groupBy("scene", "band", "bin").agg(F.sum("n").alias("n"))
+def _profiles(rows: DataFrame) -> DataFrame:
+    """scene, stats, pool of scenes with several tiles."""
+    hist = _unpacked(rows, "cells", "band int, bin int, n int", _value_counts).groupBy("scene", "band", "bin").agg(F.sum("n").alias("n"))
 
     def median_of(counts: DataFrame, value: str) -> DataFrame:
         w = Window.partitionBy("scene", "band")
@@ -149,7 +160,7 @@ def _several_tiles(prepared: DataFrame) -> DataFrame:
     mads = median_of(away, "away").withColumnRenamed("median", "mad")
     stats = medians.join(mads, ["scene", "band"]).groupBy("scene").agg(F.array_sort(F.collect_list(F.struct("band", "median", "mad"))).alias("s"))
 
-    pool = _unpacked(rows, "pool", _POOL, "prio bigint, band int, run int, value double, diff double")
+    pool = _unpacked(rows, "pool", "prio bigint, band int, run tinyint, value double, diff double", lambda blob: unpack_arrays(blob, **_POOL))
     order = ["prio", "band", "run", "value", "diff"]
     part = Window.partitionBy("scene", F.pmod(F.xxhash64("tile"), F.lit(256))).orderBy(*order)
     whole = Window.partitionBy("scene").orderBy(*order)
@@ -167,7 +178,7 @@ def _several_tiles(prepared: DataFrame) -> DataFrame:
             cols = list(zip(*out)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], names=["scene", "stats", "pool"])
 
-    return rows.select("scene", "tile").join(stats.join(pools, "scene").mapInArrow(repack, "scene string, stats binary, pool binary"), "scene")
+    return stats.join(pools, "scene").mapInArrow(repack, "scene string, stats binary, pool binary")
 
 
 def _features(stat: dict[str, np.ndarray], band, value, diff, run) -> np.ndarray:
@@ -253,20 +264,22 @@ def _judge(all_scores: bool, min_score: float):
     def run(tiles: list[list[dict]]) -> pa.RecordBatch:
         cells, stats, pools, names = [], [], [], []
         for rows in tiles:
-            c, p = next(r for r in rows if r["cells"] is not None), next((r for r in rows if r["pool"] is not None), None)
-            cells.append(unpack_arrays(c["cells"], **_FEATURED))
-            names.append(c["scene"])
-            stat = unpack_arrays(p["stats"], **_STATS) if p else None
-            stats.append(stat if stat and len(stat["band"]) else {"band": np.zeros(1, "<i4"), "median": np.zeros(1), "mad": np.full(1, np.inf)})
-            pool = unpack_arrays(p["pool"], **_POOL) if p else {c: np.zeros(0) for c in _POOL}
+            own = next(r for r in rows if r["cells"] is not None)
+            whole = next((r for r in rows if r["scene_stats"] is not None), None)  # the profile of all the scene's tiles
+            cells.append(unpack_arrays(own["cells"], **_FEATURED))
+            names.append(own["scene"])
+            stat = unpack_arrays(whole["scene_stats"] if whole else own["stats"], **_STATS)
+            stats.append(stat if len(stat["band"]) else {"band": np.zeros(1, "<i4"), "median": np.zeros(1), "mad": np.full(1, np.inf)})
+            pool = unpack_arrays(whole["scene_pool"] if whole else own["pool"], **_POOL)
             f = _features(stats[-1], pool["band"], pool["value"], pool["diff"], pool["run"])
             pools.append(f[np.arange(POOL) % len(f)] if len(f) else np.zeros((POOL, 4), np.float32))
         forest = grow(np.stack(pools), seed=17)
         source = np.concatenate([np.full(len(c["y"]), i) for i, c in enumerate(cells)])
+        a = {k: np.concatenate([c[k] for c in cells]) for k in _FEATURED}
+        diff = np.split(_differences(source, a)[1], np.cumsum([len(c["y"]) for c in cells])[:-1])
         with np.errstate(invalid="ignore", over="ignore"):
-            x = np.concatenate([_features(s, c["band"], np.nan_to_num(c["value"], posinf=1e9, neginf=-1e9), c["diff"], c["run"]) for s, c in zip(stats, cells)])
+            x = np.concatenate([_features(s, c["band"], np.nan_to_num(c["value"], posinf=1e9, neginf=-1e9), d, c["run"]) for s, c, d in zip(stats, cells, diff)])
         marks = score(forest, source, x)
-        a = {k: np.concatenate([c[k] for c in cells]) for k in _FEATURED}
         v = a["value"]
         # the exact check of the candidates
         stat_of = [(np.minimum(np.searchsorted(s["band"], c["band"]), len(s["band"]) - 1)) for s, c in zip(stats, cells)]
@@ -292,13 +305,19 @@ def flag_readings(cells: DataFrame, all_scores: bool = False, min_score: float =
 
     The prepared tiles are persisted (memory, then disk) since profiles and scores both read them.
     """
-    prepared = by_tile(
-        together(pack(cells, LINES, SAMPLES, BANDS, halo=RUN - 1)), _prepare, "scene string, tile bigint, n int, cells binary, stats binary, hist binary, pool binary"
-    ).persist(StorageLevel.MEMORY_AND_DISK)
+    packed = together(pack(cells, LINES, SAMPLES, BANDS, halo=RUN - 1))
+    prepared = by_tile(packed, _prepare, "scene string, tile bigint, n int, cells binary, stats binary, pool binary").persist(StorageLevel.MEMORY_AND_DISK)
+    several = prepared.groupBy("scene").agg(F.count("*").alias("c")).where("c > 1").select("scene")
+    n = several.count()
     none = F.lit(None).cast("binary")
-    single = prepared.groupBy("scene").agg(F.count("*").alias("c"), F.first("tile").alias("tile"), F.first("stats").alias("stats"), F.first("pool").alias("pool")).where("c = 1")
-    profiles = single.select("scene", "tile", "stats", "pool").unionByName(_several_tiles(prepared).select("scene", "tile", "stats", "pool"))
-    rows = prepared.select("scene", "tile", "n", "cells", none.alias("stats"), none.alias("pool")).unionByName(
-        profiles.select("scene", "tile", F.lit(0).alias("n"), none.alias("cells"), "stats", "pool")
-    )
-    return by_tile(together(rows), _judge(all_scores, min_score), "scene string, y int, x int, band int, value double, score double, kind string")
+    if n == 0:
+        rows = prepared.withColumns({"scene_stats": none, "scene_pool": none})
+    else:
+        theirs = prepared.join(broadcast_if_small(several, n, 64), "scene", "left_semi")
+        profiles = _profiles(theirs).withColumnsRenamed({"stats": "scene_stats", "pool": "scene_pool"})
+        if n * _PROFILE_BYTES <= BROADCAST_BYTES:
+            rows = prepared.join(F.broadcast(profiles), "scene", "left")
+        else:
+            to_tiles = theirs.select("scene", "tile").join(profiles, "scene").withColumn("n", F.lit(0))
+            rows = together(prepared.unionByName(to_tiles, allowMissingColumns=True))
+    return by_tile(rows, _judge(all_scores, min_score), "scene string, y int, x int, band int, value double, score double, kind string")
