@@ -35,15 +35,22 @@ _REGION = {"y1": "<i4", "y2": "<i4", "x1": "<i4", "x2": "<i4", "group": "<i4"}
 
 
 def counts(values: DataFrame, keys: list[str], value: str, step: float = STEP) -> DataFrame:
-    """State of any table: keys, bin, n. A value is bin * step, within half a step."""
+    """State of any table: keys, range, bin, n. A value is bin * step, within half a step."""
     ok = F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")) & (F.abs(F.col(value).cast("double")) < float("inf"))
-    return values.where(ok).groupBy(*keys, F.round(F.col(value) / F.lit(step)).cast("bigint").alias("bin")).agg(F.count("*").alias("n"))
+    bin_ = F.round(F.col(value) / F.lit(step)).cast("bigint")
+    return values.where(ok).groupBy(*keys, F.floor(bin_ / RANGE).alias("range"), bin_.alias("bin")).agg(F.count("*").alias("n"))
+
+
+def unpacked(state: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, range, bin, n of a packed state (bins and ns are arrays), the rows of a range brought together while packed."""
+    packed = state.select(*keys, "range", "bins", "ns").repartition(*keys, "range")
+    return packed.select(*keys, "range", F.explode(F.arrays_zip("bins", "ns")).alias("z")).select(*keys, "range", F.col("z.bins").alias("bin"), F.col("z.ns").alias("n"))
 
 
 def percentiles(state: DataFrame, keys: list[str], probs: dict[str, float] = PROBS, step: float = STEP) -> DataFrame:
-    """keys, n and one column per percentile, from the added counts."""
-    added = state.groupBy(*keys, "bin").agg(F.sum("n").alias("n")).withColumn("range", F.floor(F.col("bin") / RANGE))
-    per_range = added.groupBy(*keys, "range").agg(F.sum("n").alias("in_range"))
+    """keys, n and one column per percentile, from the added counts (keys, range, bin, n)."""
+    added = state.groupBy(*keys, "range", "bin").agg(F.sum("n").alias("n"))
+    per_range = state.groupBy(*keys, "range").agg(F.sum("n").alias("in_range"))
     before = Window.partitionBy(*keys).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     per_range = per_range.withColumns({"offset": F.coalesce(F.sum("in_range").over(before), F.lit(0)), "total": F.sum("in_range").over(Window.partitionBy(*keys))})
     # only ranges that hold a wanted rank are looked into
@@ -58,7 +65,9 @@ def percentiles(state: DataFrame, keys: list[str], probs: dict[str, float] = PRO
 
 
 def region_counts(cells: DataFrame, regions: DataFrame, step: float = STEP) -> DataFrame:
-    """load_date, group, band, bin, n of the readings that lie in a region. regions: scene, y1, y2, x1, x2, group.
+    """load_date, group, band, range, bins, ns: packed state of the readings that lie in a region.
+
+    regions: scene, y1, y2, x1, x2, group. Rows are parts, to be added like those of several days; each holds one range.
 
     Readings and regions meet by tile; a region takes part in every tile that it overlaps. A reading that lies in several
     regions counts once for each group among them; a delivery that is repeated counts once, on its first day.
@@ -101,13 +110,15 @@ def region_counts(cells: DataFrame, regions: DataFrame, step: float = STEP) -> D
         g, band, day, b = (np.concatenate(c) for c in zip(*kept)) if kept else (np.zeros(0, np.int64),) * 4
         order = np.lexsort((b, day, band, g))
         g, band, day, b = g[order], band[order], day[order], b[order]
-        new = np.r_[True, (g[1:] != g[:-1]) | (band[1:] != band[:-1]) | (day[1:] != day[:-1]) | (b[1:] != b[:-1])] if len(g) else np.zeros(0, bool)
+        cell = np.stack([g, band, day, b // RANGE, b])
+        new = np.r_[True, (cell[:, 1:] != cell[:, :-1]).any(0)] if len(g) else np.zeros(0, bool)
         first = np.flatnonzero(new)
-        n = np.diff(np.r_[first, len(g)])
-        return pa.RecordBatch.from_arrays(
-            [pa.array(day[first].astype(np.int32)), pa.array(g[first].astype(np.int32)), pa.array(band[first].astype(np.int32)), pa.array(b[first]), pa.array(n.astype(np.int64))], names=["day", "group", "band", "bin", "n"]
-        )
-
-    counted = by_tile(together(rows), count, "day int, group int, band int, bin bigint, n bigint")
-    late = F.when(F.col("day") < 2**31 - 1, F.date_from_unix_date("day")).alias("load_date")
-    return counted.groupBy("day", "group", "band", "bin").agg(F.sum("n").alias("n")).select(late, "group", "band", "bin", "n")
+        n, cell = np.diff(np.r_[first, len(g)]), cell[:, first]
+        part = np.flatnonzero(np.r_[True, (cell[:4, 1:] != cell[:4, :-1]).any(0)]) if len(first) else first
+        offsets = pa.array(np.r_[part, len(first)].astype(np.int32))
+        head = [pa.array(cell[i, part].astype(t)) for i, t in ((2, np.int32), (0, np.int32), (1, np.int32), (3, np.int64))]
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (cell[4], n.astype(np.int64))]
+        return pa.RecordBatch.from_arrays([*head, *lists], names=["day", "group", "band", "range", "bins", "ns"])
+
+    counted = by_tile(together(rows), count, "day int, group int, band int, range bigint, bins array<bigint>, ns array<bigint>")
+    return counted.select(F.when(F.col("day") < 2**31 - 1, F.date_from_unix_date("day")).alias("load_date"), "group", "band", "range", "bins", "ns")

@@ -40,7 +40,7 @@ def p3_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """species_id, band, n, p01, p05, median, p95, p99, from counts per load_date; exact to half of 1e-4."""
     state = percentiles.region_counts(table(spark, sf_dir, "cube_cells"), _species_regions(spark, sf_dir))
-    return percentiles.percentiles(state, ["group", "band"]).withColumnRenamed("group", "species_id")
+    return percentiles.percentiles(percentiles.unpacked(state, ["group", "band"]), ["group", "band"]).withColumnRenamed("group", "species_id")
 
 
 def p4_scene_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
