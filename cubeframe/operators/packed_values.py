@@ -30,6 +30,10 @@ BRACKETS = {"[": "]", "{": "}"}
 MAX_INNER = 3
 #: Log probability of one character of a value that was never seen.
 CHAR_LOGP = math.log(1 / 40)
+#: Before the column is seen, a separator character counts as met so often as a separator, and so often within a value.
+PRIOR = (4, 1)
+#: Share of values not seen before, to begin with.
+UNSEEN = 0.1
 
 PIECES = T.ArrayType(T.StructType([T.StructField("piece", T.StringType()), T.StructField("sep", T.StringType())]))
 
@@ -196,15 +200,11 @@ def _edges(fields: DataFrame) -> DataFrame:
     )
 
 
-def _scored(edges: DataFrame, values: DataFrame | None, total: float, unseen: float) -> DataFrame:
+def _scored(edges: DataFrame, values: DataFrame, total: float, unseen: float) -> DataFrame:
     """fk, logp: the log probabilities of the field's edges in order. values: vk, n (already discounted)."""
-    spell = (F.col("len") + 1) * F.lit(CHAR_LOGP)
-    if values is None:
-        logp: Column = spell
-        joined = edges
-    else:
-        joined = edges.join(values, "vk", "left")
-        logp = F.log(F.coalesce("n", F.lit(0.0)) / F.lit(total) + F.lit(unseen) * F.exp(F.greatest(spell, F.lit(-600.0))))
+    spell = F.exp(F.greatest(F.col("len") * F.lit(CHAR_LOGP), F.lit(-600.0)))
+    logp = F.log(F.coalesce("n", F.lit(0.0)) / F.lit(total) + F.lit(unseen) * spell)
+    joined = edges.join(values, "vk", "left")
     return joined.groupBy("fk").agg(F.array_sort(F.collect_list(F.struct("e", logp.alias("logp")))).alias("es")).select("fk", F.col("es.logp").alias("logp"))
 
 
@@ -230,20 +230,24 @@ def _expectation(cut: dict[str, float]):
 def learn(df: DataFrame, field: str, separators: str = SEPARATORS, iterations: int = 3) -> tuple[DataFrame, DataFrame, dict[str, float], float, float]:
     """Expectation maximisation over all distinct fields: (fields, value counts, cut probabilities, total, unseen mass).
 
-    A value's count is discounted by one: what a single field shows is no evidence of a value.
+    It starts from the count of every stretch, so that a value with a separator in it competes with its parts. A field
+    counts a value once at most, and a value's count is discounted by one: what a single field shows is no evidence.
     """
     from cubeframe.session import checkpointed
 
     fields = checkpointed(_fields(df, field, separators).withColumn("fk", F.md5("field")))
     edges = checkpointed(_edges(fields))
-    cut = dict.fromkeys(separators, 0.5)
-    values, total, unseen = None, 1.0, 1.0
+    cut = dict.fromkeys(separators, PRIOR[0] / sum(PRIOR))
+    total = float(fields.agg(F.sum(F.size("parts"))).first()[0] or 1)
+    values, unseen = edges.select("fk", "vk").distinct().groupBy("vk").agg((F.count("*") - 1.0).alias("n")).where("n > 0"), UNSEEN
     for _ in range(iterations):
         expect = _expectation(dict(cut))
         seen = checkpointed(fields.join(_scored(edges, values, total, unseen), "fk").select("fk", "parts.sep", expect("parts", "logp").alias("r")))
         counts = (
             seen.select("fk", F.posexplode("r.post").alias("e", "p"))
             .join(edges, ["fk", "e"])
+            .groupBy("fk", "vk")
+            .agg(F.least(F.sum("p"), F.lit(1.0)).alias("p"))
             .groupBy("vk")
             .agg(F.sum("p").alias("c"))
         )
@@ -255,7 +259,7 @@ def learn(df: DataFrame, field: str, separators: str = SEPARATORS, iterations: i
         shares = (
             seen.select(F.explode(F.arrays_zip(F.expr("slice(sep, 1, size(sep) - 1)").alias("sep"), F.col("r.cuts").alias("cut"))).alias("z"))
             .groupBy("z.sep")
-            .agg(((F.sum("z.cut") + 1) / (F.count("*") + 2)).alias("share"))
+            .agg(((F.sum("z.cut") + PRIOR[0]) / (F.count("*") + sum(PRIOR))).alias("share"))
             .collect()  # one row per separator character
         )
         cut |= {r["sep"]: r["share"] for r in shares}
@@ -280,10 +284,10 @@ def split_packed(df: DataFrame, field: str, out: str = "value", separators: str
             result.append([(k, v) for k, v in enumerate(map(clean, texts), 1) if v])
         return pd.Series(result)
 
-    split = fields.join(_scored(edges, values, total, unseen), "fk").select(F.col("field").alias("_field"), decode("parts", "logp").alias("_values"))
+    split = fields.join(_scored(edges, values, total, unseen), "fk").select(F.col("field").alias("_cf_field"), decode("parts", "logp").alias("_cf_values"))
     keep = [c for c in df.columns if c not in {field, "ordinal", out}]
     return (
-        df.join(split, df[field] == F.col("_field"))
-        .select(*[df[c] for c in keep], F.explode("_values").alias("_v"))
-        .select(*keep, F.col("_v.ordinal").alias("ordinal"), F.col("_v.value").alias(out))
+        df.join(split, df[field] == F.col("_cf_field"))
+        .select(*[df[c] for c in keep], F.explode("_cf_values").alias("_cf_v"))
+        .select(*keep, F.col("_cf_v.ordinal").alias("ordinal"), F.col("_cf_v.value").alias(out))
     )
