@@ -11,7 +11,7 @@ grows with the data, however large the group.
 
 Rank of percentile p of n values: ceil(p * n), at least 1 (an observed value, no interpolation).
 
-Defined results: null, NaN and infinite values do not count; a group without a value gives no row; an empty table gives an empty
+Defined results: null, NaN and infinite values do not count, nor do rows with a null key; a group without a value gives no row; an empty table gives an empty
 result; late and repeated deliveries of a reading count once, on its first day.
 """
 
@@ -34,23 +34,27 @@ LINES, SAMPLES, BANDS = 128, 32, 1 << 12
 _REGION = {"y1": "<i4", "y2": "<i4", "x1": "<i4", "x2": "<i4", "group": "<i4"}
 
 
+def _no_nulls(columns: list[str]) -> str:
+    return " AND ".join(f"`{c}` IS NOT NULL" for c in columns)
+
+
 def counts(values: DataFrame, keys: list[str], value: str, step: float = STEP) -> DataFrame:
     """State of any table: keys, range, bin, n. A value is bin * step, within half a step."""
     ok = F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")) & (F.abs(F.col(value).cast("double")) < float("inf"))
     bin_ = F.round(F.col(value) / F.lit(step)).cast("bigint")
-    return values.where(ok).groupBy(*keys, F.floor(bin_ / RANGE).alias("range"), bin_.alias("bin")).agg(F.count("*").alias("n"))
+    return values.where(ok).where(_no_nulls(keys)).groupBy(*keys, F.floor(bin_ / RANGE).alias("range"), bin_.alias("bin")).agg(F.count("*").alias("n"))
 
 
 def unpacked(state: DataFrame, keys: list[str]) -> DataFrame:
     """keys, range, bin, n of a packed state (bins and ns are arrays), the rows of a range brought together while packed."""
-    packed = state.select(*keys, "range", "bins", "ns").repartition(*keys, "range")
+    packed = state.select(*keys, "range", "bins", "ns").where(_no_nulls([*keys, "range"])).repartition(*keys, "range")
     return packed.select(*keys, "range", F.explode(F.arrays_zip("bins", "ns")).alias("z")).select(*keys, "range", F.col("z.bins").alias("bin"), F.col("z.ns").alias("n"))
 
 
 def percentiles(state: DataFrame, keys: list[str], probs: dict[str, float] = PROBS, step: float = STEP) -> DataFrame:
     """keys, n and one column per percentile, from the added counts (keys, range, bin, n)."""
     added = state.groupBy(*keys, "range", "bin").agg(F.sum("n").alias("n"))
-    per_range = state.groupBy(*keys, "range").agg(F.sum("n").alias("in_range"))
+    per_range = added.groupBy(*keys, "range").agg(F.sum("n").alias("in_range"))
     before = Window.partitionBy(*keys).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     per_range = per_range.withColumns({"offset": F.coalesce(F.sum("in_range").over(before), F.lit(0)), "total": F.sum("in_range").over(Window.partitionBy(*keys))})
     # only ranges that hold a wanted rank are looked into
