@@ -17,37 +17,41 @@ _CUT = "\u001f\u241f\u001f"
 _BLANK = "[\\s\\u00a0\\u3000\\ufeff]"
 
 
-def _fields(line: Column, sep: Column) -> tuple[Column, Column]:
-    """(fields, badly quoted) of a line. Between quotes, the parts of split(line, '"') alternate outside, inside."""
+def _fields(line: Column, sep: Column) -> Column:
+    """Struct of fields and badly (quoted) of a line. Between quotes, the parts of split(line, '"') alternate outside, inside."""
+    quoted_sep = F.concat(F.lit("\\Q"), sep, F.lit("\\E"))
+    white = F.concat(F.lit("[\\s\\u00a0\\u3000\\ufeff&&[^"), quoted_sep, F.lit("]]*"))
+    after_close = F.concat(F.lit("(?s)^"), white, F.lit("("), quoted_sep, F.lit(".*)?$"))
+    before_open = F.concat(F.lit("(?s)^(.*"), quoted_sep, F.lit(")?"), white, F.lit("$"))
     parts = F.split(line, '"', -1)
-    last = F.size(parts) - 1
-    inner_sep = F.concat(F.lit("\\Q"), sep, F.lit("\\E"))
-    white = F.concat(F.lit("[\\s\\u00a0\\u3000\\ufeff&&[^"), inner_sep, F.lit("]]*"))
-    after_close = F.concat(F.lit("(?s)^"), white, F.lit("("), inner_sep, F.lit(".*)?$"))
-    before_open = F.concat(F.lit("(?s)^(.*"), inner_sep, F.lit(")?"), white, F.lit("$"))
-
-    def wrong(part: Column, i: Column) -> Column:
-        outside, doubled = i % 2 == 0, (part == "") & (i > 0) & (i < last)
-        bad = ((i > 0) & ~F.regexp(part, after_close)) | ((i < last) & ~F.regexp(part, before_open))
-        # a part between a closing and an opening quote needs a separator of its own
-        lone = (i > 0) & (i < last) & ~F.contains(part, sep)
-        return outside & ~doubled & (bad | lone)
-
-    marked = F.transform(parts, lambda p, i: F.struct(p.alias("p"), wrong(p, i).alias("wrong")))
-    badly = (last % 2 == 1) | F.exists(marked, lambda m: m["wrong"])
-    masked = F.array_join(F.transform(parts, lambda p, i: F.when(i % 2 == 0, F.replace(p, sep, F.lit(_CUT))).otherwise(p)), '"')
-    raw = F.transform(F.split(masked, f"\\Q{_CUT}\\E", -1), lambda f: F.regexp_replace(f, f"^{_BLANK}+|{_BLANK}+$", ""))
-    fields = F.transform(
-        raw, lambda f: F.when(f.startswith('"') & (F.length(f) > 1), F.replace(F.substring(f, F.lit(2), F.length(f) - 2), F.lit('""'), F.lit('"'))).otherwise(f)
-    )
-    return fields, badly
+    # computed once per line, not once per part
+    once = F.array(F.struct(parts.alias("parts"), (F.size(parts) - 1).alias("last"), sep.alias("sep"), after_close.alias("after"), before_open.alias("before")))
+
+    def of(k: Column) -> Column:
+        def wrong(part: Column, i: Column) -> Column:
+            outside, doubled = i % 2 == 0, (part == "") & (i > 0) & (i < k["last"])
+            bad = ((i > 0) & ~F.regexp(part, k["after"])) | ((i < k["last"]) & ~F.regexp(part, k["before"]))
+            # a part between a closing and an opening quote needs a separator of its own
+            lone = (i > 0) & (i < k["last"]) & ~F.contains(part, k["sep"])
+            return outside & ~doubled & (bad | lone)
+
+        marked = F.transform(k["parts"], wrong)
+        badly = (k["last"] % 2 == 1) | F.exists(marked, lambda m: m)
+        masked = F.array_join(F.transform(k["parts"], lambda p, i: F.when(i % 2 == 0, F.replace(p, k["sep"], F.lit(_CUT))).otherwise(p)), '"')
+        raw = F.transform(F.split(masked, f"\\Q{_CUT}\\E", -1), lambda f: F.regexp_replace(f, f"^{_BLANK}+|{_BLANK}+$", ""))
+        fields = F.transform(
+            raw, lambda f: F.when(f.startswith('"') & (F.length(f) > 1), F.replace(F.substring(f, F.lit(2), F.length(f) - 2), F.lit('""'), F.lit('"'))).otherwise(f)
+        )
+        return F.struct(fields.alias("fields"), badly.alias("badly"))
+
+    return F.transform(once, of)[0]
 
 
 def parse_lines(df: DataFrame, line: str = "line_text", sep: str = "sep", record_type: str = "record_type") -> DataFrame:
     """df with f1, f2, f3 (nullable text) and errors (array of quoting, columns, value, in this order)."""
     text = F.when(F.col(line).endswith("\r"), F.substring(F.col(line), F.lit(1), F.length(line) - 1)).otherwise(F.col(line))
-    fields, badly = _fields(text, F.coalesce(F.nullif(F.col(sep), F.lit("")), F.lit(_CUT)))
-    df = df.withColumns({"_fields": fields, "_badly": badly})
+    cut = _fields(text, F.coalesce(F.nullif(F.col(sep), F.lit("")), F.lit(_CUT)))
+    df = df.withColumn("_cut", F.when(F.col(line).isNotNull(), cut)).withColumns({"_fields": F.col("_cut.fields"), "_badly": F.col("_cut.badly")}).drop("_cut")
     f = [F.get("_fields", F.lit(i)) for i in range(3)]
     df = df.withColumns({"f1": f[0], "f2": f[1], "f3": f[2]})
 
