@@ -165,7 +165,7 @@ def headers(spark: SparkSession, root: str, suffix: str = "_refl") -> DataFrame:
     """scene, meta, wavelengths of every header, read by Spark."""
     texts = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[hH][dD][rR]").format("binaryFile").load(root)
     name = F.element_at(F.split("path", "/"), -1)
-    kept = texts.where(F.contains(F.lower(name), F.lit(suffix.lower()))).select(F.regexp_replace(name, f"(?i)({re.escape(suffix)})?[.]hdr$", "").alias("scene"), F.decode("content", F.lit("UTF-8")).alias("text"))
+    kept = texts.where(F.contains(F.lower(name), F.lit(suffix.lower()))).select(F.regexp_replace(name, f"(?i)({re.escape(suffix)})?[.]hdr$", "").alias("scene"), F.decode("content", "UTF-8").alias("text"))
     return kept.select("scene", meta_map(F.col("text")).alias("meta"), wavelength_array(F.col("text")).alias("wavelengths"))
 
 
@@ -194,7 +194,7 @@ def sample_mapping(lines: DataFrame, line: str = "value", order: str | None = No
     at = F.col(order) if order else F.monotonically_increasing_id()
     of = lines.where(F.contains(F.col(line), F.lit(":"))).select(F.trim(pair[0]).alias("scene"), pair[1].alias("list"), at.alias("at"))
     last = of.groupBy("scene").agg(F.max_by("list", "at").alias("list"))
-    rows = last.select("scene", F.posexplode(F.filter(F.transform(F.split("list", ","), F.trim), lambda s: s != "")).alias("p", "species"))
+    rows = last.select("scene", F.posexplode(F.filter(F.transform(F.split("list", ","), lambda s: F.trim(s)), lambda s: s != "")).alias("p", "species"))
     full = rows.join(names.groupBy("_short").agg(F.first("_full").alias("_full")), F.col("species") == F.col("_short"), "left")
     return full.select("scene", (F.col("p") + 1).alias("ordinal"), F.coalesce("_full", "species").alias("species"))
 

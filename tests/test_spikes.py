@@ -44,7 +44,7 @@ def scene(rng, name, lines, samples=3, bands=3):
             for b in range(bands):
                 value = float(round(0.3 + 0.1 * b + rng.normal(0, 0.01), 4))
                 if rng.random() < 0.01:
-                    value = rng.choice([-0.1, 1.3, math.inf, -math.inf, 0.9])
+                    value = float(rng.choice([-0.1, 1.3, math.inf, -math.inf, 0.9]))
                 if rng.random() < 0.01:
                     value = None
                 if rng.random() < 0.01:
