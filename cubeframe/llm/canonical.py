@@ -139,8 +139,8 @@ def _ahead(scored: DataFrame, key: str, margin: float) -> DataFrame:
 
 def with_entry(rows: DataFrame, column: str, entries: DataFrame) -> DataFrame:
     """rows with species_id: 0 where the list has no such entry, null where the value is null or blank."""
-    found = match_values(rows, column, entries).select(F.col("value").alias("_value"), F.col("species_id").alias("_id"))
-    return rows.join(found, rows[column] == F.col("_value"), "left").withColumn("species_id", F.col("_id")).drop("_value", "_id")
+    found = match_values(rows, column, entries).select(F.col("value").alias("_cf_value"), F.col("species_id").alias("_cf_id"))
+    return rows.join(found, rows[column] == F.col("_cf_value"), "left").withColumn("species_id", F.col("_cf_id")).drop("_cf_value", "_cf_id")
 
 
 def unmatched(rows: DataFrame, column: str, entries: DataFrame) -> DataFrame:
