@@ -15,6 +15,7 @@ def get_session(cpus: str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A local session with the settings the tests and the bench use."""
     return (
         SparkSession.builder.master(f"local[{cpus}]")
+        .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", shuffle_partitions)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
