@@ -5,8 +5,6 @@ A mask is the frame (scene, y, x) of its true pixels.
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -116,27 +114,12 @@ def highpass_otsu(plane: DataFrame, sigma: float = 5.0, min_size: int = 500, hol
     return spatial.complement(mask, size) if invert else mask
 
 
-def bright(pixel: DataFrame, quantile: float) -> DataFrame:
-    """Pixels whose mean lies above the scene's quantile of means."""
-    means = pixel.withColumn("_mean", S.mean(F.col("spectrum")))
-    limit = means.groupBy("scene").agg(F.percentile("_mean", F.lit(quantile)).alias("_q"))
-    return means.join(limit, "scene").where(F.col("_mean") > F.col("_q")).drop("_mean", "_q")
-
-
-def kmeans_clusters(pixel: DataFrame, shadow_quantile: float = 0.1, k: int = 2, seed: int = 42) -> DataFrame:
-    """scene, y, x, cluster of the normalised spectra of the bright pixels; all spectra have the same bands."""
-    flat = F.transform(F.array(F.struct(S.mean(F.col("spectrum")).alias("m"), (S.std(F.col("spectrum")) + 1e-8).alias("s"))), lambda p: F.transform("spectrum", lambda v: (v - p["m"]) / p["s"]))[0]
-    scaled = bright(pixel, shadow_quantile).select(*PIXEL, array_to_vector(flat).alias("features"))
-    return KMeans(k=k, seed=seed).fit(scaled).transform(scaled).select(*PIXEL, F.col("prediction").alias("cluster"))
-
-
-def kmeans_mask(pixel: DataFrame, target: str = "small", structure: int = 5, **how) -> DataFrame:
-    """The smallest or largest cluster of each scene, opened, then closed."""
-    found = kmeans_clusters(pixel, **how)
-    n = found.groupBy("scene", "cluster").agg(F.count("*").alias("n"))
-    pick = n.groupBy("scene").agg((F.min_by if target == "small" else F.max_by)("cluster", "n").alias("cluster"))
-    size = extent(pixel)
-    mask = found.join(pick, ["scene", "cluster"]).select(*PIXEL)
+def kmeans_mask(pixel: DataFrame, size: DataFrame, target: str = "small", structure: int = 5) -> DataFrame:
+    """The smallest or largest cluster of each scene, opened, then closed. pixel: scene, y, x, cluster; size: scene, height, width."""
+    n = pixel.groupBy("scene", "cluster").agg(F.count("*").alias("n"))
+    order = F.struct("n", "cluster") if target == "small" else F.struct("n", -F.col("cluster"))
+    pick = n.groupBy("scene").agg((F.min_by if target == "small" else F.max_by)("cluster", order).alias("cluster"))
+    mask = pixel.join(pick, ["scene", "cluster"]).select(*PIXEL)
     return spatial.closing(spatial.opening(mask, spatial.square(structure), size), spatial.square(structure), size)
 
 

@@ -22,6 +22,25 @@ def _signed(vectors: np.ndarray) -> np.ndarray:
     return vectors * np.sign(vectors[at, range(vectors.shape[1])])
 
 
+def pca_of(m: np.ndarray, n_components: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(mean, components, variances) from [1, X]'[1, X]."""
+    mean, scatter = linalg.centred(m)
+    value, vector = np.linalg.eigh(scatter / max(m[0, 0] - 1, 1))
+    order = np.argsort(value)[::-1][:n_components]
+    return mean, _signed(vector[:, order]), value[order]
+
+
+def mnf_of(m: np.ndarray, noise: np.ndarray, n_components: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(mean, components, eigenvalues) from [1, X]'[1, X] and the same of the differences; without any, all noise is 0."""
+    mean, scatter = linalg.centred(m)
+    spread = linalg.centred(noise)[1] / max(noise[0, 0] - 1, 1) if noise[0, 0] else np.zeros_like(scatter)
+    value, vector = np.linalg.eigh(spread)
+    white = vector @ np.diag(1 / np.sqrt(np.clip(value, 0, None) + 1e-12)) @ vector.T
+    value, vector = np.linalg.eigh(white.T @ (scatter / max(m[0, 0] - 1, 1)) @ white)
+    order = np.argsort(value)[::-1][:n_components]
+    return mean, _signed(white @ vector[:, order]), value[order]
+
+
 class PCA:
     """Principal components of a spectrum column, centred."""
 
@@ -29,11 +48,8 @@ class PCA:
         self.n_components = n_components
 
     def fit(self, df: DataFrame, column: str = "spectrum") -> PCA:
-        (n, m), = linalg.gram(df, [column]).values()
-        self.mean_, scatter = linalg.centred(m)
-        value, vector = np.linalg.eigh(scatter / max(n - 1, 1))
-        order = np.argsort(value)[::-1][: self.n_components]
-        self.explained_variance_, self.components_ = value[order], _signed(vector[:, order])
+        (_, m), = linalg.gram(df, [column]).values()
+        self.mean_, self.components_, self.explained_variance_ = pca_of(m, self.n_components)
         return self
 
     def transform(self, df: DataFrame, column: str = "spectrum", out: str = "scores") -> DataFrame:
@@ -57,14 +73,9 @@ class MNF:
         return parts[0].unionByName(parts[1])
 
     def fit(self, pixel: DataFrame, column: str = "spectrum") -> MNF:
-        (nn, noise), = linalg.gram(self.differences(pixel, column), ["d"]).values()
-        (n, data), = linalg.gram(pixel, [column]).values()
-        self.mean_, scatter = linalg.centred(data)
-        value, vector = np.linalg.eigh(linalg.centred(noise)[1] / (nn - 1))
-        white = vector @ np.diag(1 / np.sqrt(np.clip(value, 0, None) + 1e-12)) @ vector.T
-        value, vector = np.linalg.eigh(white.T @ (scatter / (n - 1)) @ white)
-        order = np.argsort(value)[::-1][: self.n_components]
-        self.eigenvalues_, self.components_ = value[order], _signed(white @ vector[:, order])
+        (_, noise), = linalg.gram(self.differences(pixel, column), ["d"]).values()
+        (_, data), = linalg.gram(pixel, [column]).values()
+        self.mean_, self.components_, self.eigenvalues_ = mnf_of(data, noise, self.n_components)
         return self
 
     def transform(self, pixel: DataFrame, column: str = "spectrum", out: str = "mnf") -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cubeframe import frame
 from cubeframe.functions import spectra as S
-from cubeframe.operators import binning, cleaning, extract, masks, models, preprocess, regions, spatial, stats
+from cubeframe.operators import binning, cleaning, extract, masks, models, preprocess, regions, scenewise, spatial, stats
 from cubeframe.plans import pipeline, plotdata
 from cubeframe.session import table
 from cubeframe.sources import envi
@@ -246,15 +246,14 @@ def bm4_highpass_otsu(spark, sf_dir):
     return masks.highpass_otsu(_dense(spark, sf_dir, 2), min_size=4, hole_size=2)
 
 
-def _eight_bands(spark, sf_dir):
-    """Whole pixels of the scenes with eight bands."""
-    return masks.whole_pixels(cells(spark, sf_dir)).where(F.size("spectrum") == 8)
+def _blocks(spark, sf_dir):
+    """The valid readings of every scene, whatever its number of bands."""
+    return scenewise.Blocks(table(spark, sf_dir, "cube_cells").where(F.col("value").between(frame.LOW, frame.HIGH)))
 
 
 @query()
 def bm5_kmeans(spark, sf_dir):
-    found = masks.kmeans_clusters(_eight_bands(spark, sf_dir))
-    return found.groupBy("scene", "cluster").agg(F.count("*").alias("n"))
+    return scenewise.kmeans(_blocks(spark, sf_dir)).groupBy("scene", "cluster").agg(F.count("*").alias("n"))
 
 
 @query(_D + ", " + _STATS + """, en AS (SELECT scene, band, value, count(*) AS n, sum(count(*)) OVER (PARTITION BY scene, band) AS t FROM d GROUP BY scene, band, value),
@@ -268,9 +267,7 @@ def bm6_component_scores(spark, sf_dir):
 
 @query()
 def bm6_component_mask(spark, sf_dir):
-    pixel = _eight_bands(spark, sf_dir)
-    scores = models.PCA(3).fit(pixel).transform(pixel).withColumn("bands", F.array(F.lit(0), F.lit(1), F.lit(2)))
-    return masks.component_mask(frame.cells_of(scores, "scores"))
+    return masks.component_mask(scenewise.pca(_blocks(spark, sf_dir), 3))
 
 
 def _simple_mask(spark, sf_dir):
@@ -518,9 +515,7 @@ def sb6_soft_plsda(spark, sf_dir):
 
 @query()
 def sb7_mnf(spark, sf_dir):
-    p = _eight_bands(spark, sf_dir)
-    model = models.MNF(3).fit(p)
-    return frame.cells_of(model.transform(p).withColumn("bands", F.sequence(F.lit(0), F.lit(2))), "mnf").withColumn("value", r("value", 6))
+    return scenewise.mnf(_blocks(spark, sf_dir), 3).withColumn("value", r("value", 6))
 
 
 # headers and samples
