@@ -256,6 +256,15 @@ def bm5_kmeans(spark, sf_dir):
     return scenewise.kmeans(_blocks(spark, sf_dir)).groupBy("scene", "cluster").agg(F.count("*").alias("n"))
 
 
+@query()
+def bm5_kmeans_mask(spark, sf_dir):
+    """Every pixel of every scene: fg if it is in the cleaned mask of the scene's smallest cluster."""
+    size = frame.extent(table(spark, sf_dir, "cube_cells").where(F.col("value").between(frame.LOW, frame.HIGH)))
+    mask = masks.kmeans_mask(scenewise.kmeans(_blocks(spark, sf_dir)), size).withColumn("fg", F.lit(True))
+    grid = spatial.complement(mask.where("false").select("scene", "y", "x"), size)
+    return grid.join(mask, ["scene", "y", "x"], "left").withColumn("fg", F.coalesce("fg", F.lit(False)))
+
+
 @query(_D + ", " + _STATS + """, en AS (SELECT scene, band, value, count(*) AS n, sum(count(*)) OVER (PARTITION BY scene, band) AS t FROM d GROUP BY scene, band, value),
 ee AS (SELECT scene, band, -sum(n / t * log2(n / t)) AS entropy FROM en GROUP BY ALL)
 SELECT scene, band, round(std / (hi - lo + 1e-6), 9) + 0.0 AS contrast, round(std, 9) + 0.0 AS std, round(entropy, 9) + 0.0 AS entropy FROM s JOIN ee USING (scene, band)""")

@@ -2,7 +2,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cubeframe.operators import models, scenewise
+from cubeframe.frame import extent
+from cubeframe.operators import masks, models, scenewise
 from cubeframe.queries import reference
 
 
@@ -66,3 +67,25 @@ def test_queries_cover_every_scene(spark, data):
     assert bands > 1
     for name in ("bm5_kmeans", "bm6_component_mask", "sb7_mnf"):
         assert {r.scene for r in reference.QUERIES[name](spark, data).select("scene").distinct().collect()} == want, name
+
+
+def test_kmeans_mask_is_the_smallest_cluster_of_each_scene(spark):
+    truth = {s: np.zeros((16, 14), bool) for s in "ab"}
+    truth["a"][3:9, 4:10] = truth["b"][6:12, 2:9] = True
+    truth["a"][13, 12] = True  # removed by the opening
+    shapes = {"a": [[1, 2, 3, 4], [4, 3, 2, 1]], "b": [[4, 3, 2, 1.0, 1], [4, 3, 1.8, 1.4, 1]]}
+    scale = np.random.default_rng(13).uniform(0.9, 1.1, (16, 14, 1))
+    scale[:2] *= 0.5  # two dark lines take up the shadow quantile
+    cubes = {s: np.array(p)[truth[s].astype(int)] * scale for s, p in shapes.items()}
+    cells = scene_cells(spark, cubes)
+    found = scenewise.kmeans(scenewise.Blocks(cells))
+    got = {(r.scene, r.y, r.x) for r in masks.kmeans_mask(found, extent(cells)).collect()}
+    truth["a"][13, 12] = False
+    assert got == {(s, y, x) for s, t in truth.items() for y, x in np.argwhere(t)}
+    assert len({(r.scene, r.y, r.x) for r in masks.kmeans_mask(found, extent(cells), "large").collect()} & got) == 0
+
+
+def test_mask_query_has_every_pixel_of_every_scene(spark, data):
+    size = extent(reference.cells(spark, data)).agg(F.sum(F.col("height") * F.col("width"))).first()[0]
+    out = reference.bm5_kmeans_mask(spark, data)
+    assert out.columns == ["scene", "y", "x", "fg"] and out.count() == size
