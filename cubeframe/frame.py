@@ -18,6 +18,12 @@ def valid_cells(cells: DataFrame, low: float = LOW, high: float = HIGH) -> DataF
     return kept.groupBy(*place).agg(F.max("value").alias("value"))
 
 
+def all_cells(cells: DataFrame) -> DataFrame:
+    """scene, y, x, band, value of all readings that are not missing, each position once."""
+    place = ["scene", "y", "x", "band"]
+    return cells.where("value IS NOT NULL AND NOT isnan(value)").dropna(subset=place).groupBy(*place).agg(F.max("value").alias("value"))
+
+
 def pixels(cells: DataFrame) -> DataFrame:
     """scene, y, x, bands, spectrum: one row per pixel, both arrays in the order of the bands."""
     pair = F.array_sort(F.collect_list(F.struct("band", "value")))

@@ -10,12 +10,21 @@ from cubeframe.operators.stats import band_stats
 _MAD = 1.4826
 
 
+def infinite(value: str = "value") -> Column:
+    return F.abs(F.col(value)) == float("inf")
+
+
 def bad_cells(cells: DataFrame, lower: float = 0.1, upper: float | None = None, z: float = 3.0) -> DataFrame:
-    """Cells with good: not below lower, not above upper (none: the maximum, so nothing), |z| within its band at most z."""
-    stats = band_stats(cells).select("scene", "band", "mean", "std")
-    dead = (F.col("value") < lower) if upper is None else (F.col("value") < lower) | (F.col("value") > upper)
-    outlier = F.abs(F.col("value") - F.col("mean")) / (F.col("std") + 1e-8) > z
-    return cells.join(stats, ["scene", "band"]).select(*cells.columns, (~(dead | outlier)).alias("good"))
+    """Cells with good: not below lower, not above upper (none: the maximum, so nothing), |z| within its band at most z.
+
+    Infinite readings are never good and have no part in the mean and deviation of their band.
+    """
+    stats = band_stats(cells.where(~infinite())).select("scene", "band", "mean", "std")
+    dead = infinite() | (F.col("value") < lower)
+    if upper is not None:
+        dead = dead | (F.col("value") > upper)
+    outlier = F.coalesce(F.abs(F.col("value") - F.col("mean")) / (F.col("std") + 1e-8) > z, F.lit(False))
+    return cells.join(stats, ["scene", "band"], "left").select(*cells.columns, (~(dead | outlier)).alias("good"))
 
 
 def _robust_z(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -43,8 +52,11 @@ def mirrored(i: Column, n: Column) -> Column:
 
 
 def dead_columns(cells: DataFrame, threshold: float = 30.0, kernel: tuple[int, int] = (3, 5)) -> DataFrame:
-    """scene, band, x, residual, dead: mean profile per column and band against its median-filtered neighbourhood."""
-    profile = cells.groupBy("scene", "band", "x").agg(F.avg("value").alias("p"))
+    """scene, band, x, residual, dead: mean profile per column and band against its median-filtered neighbourhood.
+
+    The profile leaves infinite readings out; a column with no other is dead and has no residual.
+    """
+    profile = cells.groupBy("scene", "band", "x").agg(F.avg(F.when(~infinite(), F.col("value"))).alias("p"))
     size = profile.groupBy("scene").agg((F.max("band") + 1).alias("nb"), (F.max("x") + 1).alias("nx"))
     hb, hx = kernel[0] // 2, kernel[1] // 2
     near = F.explode(F.array(*(F.struct(F.lit(b).alias("db"), F.lit(x).alias("dx")) for b in range(-hb, hb + 1) for x in range(-hx, hx + 1))))
@@ -54,7 +66,7 @@ def dead_columns(cells: DataFrame, threshold: float = 30.0, kernel: tuple[int, i
     smooth = asked.join(there, ["scene", "b2", "x2"]).groupBy("scene", "band", "x", "p").agg(F.median("q").alias("m"))
     resid = smooth.select("scene", "band", "x", (F.col("p") - F.col("m")).alias("residual"))
     spread = resid.groupBy("scene").agg(F.stddev_pop("residual").alias("s"))
-    return resid.join(spread, "scene").select("scene", "band", "x", "residual", (F.abs("residual") > threshold * (F.col("s") + 1e-8)).alias("dead"))
+    return resid.join(spread, "scene").select("scene", "band", "x", "residual", F.coalesce(F.abs("residual") > threshold * (F.col("s") + 1e-8), F.col("residual").isNull()).alias("dead"))
 
 
 def repair(cells: DataFrame, bad: str = "bad", method: str = "spectral") -> DataFrame:
@@ -82,7 +94,7 @@ def repair(cells: DataFrame, bad: str = "bad", method: str = "spectral") -> Data
 
 
 class DeadPixelProcessor:
-    """Detection of dead columns and repair in one call."""
+    """Detection of dead columns and repair in one call; infinite readings are repaired too."""
 
     def __init__(self, threshold: float = 30.0, kernel: tuple[int, int] = (3, 5), method: str = "spectral"):
         self.threshold, self.kernel, self.method = threshold, kernel, method
@@ -92,7 +104,7 @@ class DeadPixelProcessor:
 
     def clean(self, cells: DataFrame) -> DataFrame:
         dead = self.identify(cells).withColumn("bad", F.lit(True))
-        marked = cells.join(dead, ["scene", "band", "x"], "left").withColumn("bad", F.coalesce("bad", F.lit(False)))
+        marked = cells.join(dead, ["scene", "band", "x"], "left").withColumn("bad", F.coalesce("bad", F.lit(False)) | infinite())
         return repair(marked, "bad", self.method)
 
 

@@ -111,12 +111,15 @@ def cl1_bad_cells(spark, sf_dir):
     return cleaning.bad_cells(cells(spark, sf_dir)).where("NOT good").select("scene", "y", "x", "band")
 
 
-@query(_D + """, c AS (SELECT scene, band, x, median(value) AS m FROM d GROUP BY ALL), cm AS (SELECT scene, band, median(m) AS med FROM c GROUP BY ALL),
+_LINES = """c AS (SELECT scene, band, x, median(value) AS m FROM d GROUP BY ALL), cm AS (SELECT scene, band, median(m) AS med FROM c GROUP BY ALL),
 ca AS (SELECT *, abs(m - med) AS a FROM c JOIN cm USING (scene, band)), cz AS (SELECT scene, band, median(a) AS mad FROM ca GROUP BY ALL),
 k AS (SELECT scene, band, x FROM ca JOIN cz USING (scene, band) WHERE a / (1.4826 * mad + 1e-9) > 5),
 rm AS (SELECT scene, band, y, median(value) AS med FROM d GROUP BY ALL), ra AS (SELECT d.*, abs(value - med) AS a FROM d JOIN rm USING (scene, band, y)),
 rz AS (SELECT scene, band, y, median(a) AS mad FROM ra GROUP BY ALL)
-SELECT scene, band, x FROM ra JOIN rz USING (scene, band, y) JOIN k USING (scene, band, x) GROUP BY scene, band, x HAVING avg(CASE WHEN a / (1.4826 * mad + 1e-9) > 5 THEN 1.0 ELSE 0 END) >= 0.5""")
+SELECT scene, band, x FROM ra JOIN rz USING (scene, band, y) JOIN k USING (scene, band, x) GROUP BY scene, band, x HAVING avg(CASE WHEN a / (1.4826 * mad + 1e-9) > 5 THEN 1.0 ELSE 0 END) >= 0.5"""
+
+
+@query(_D + ", " + _LINES)
 def cl2_line_defects(spark, sf_dir):
     return cleaning.line_defects(cells(spark, sf_dir), fraction=0.5)
 
@@ -159,6 +162,51 @@ def cl6_defect_image(spark, sf_dir):
     return cleaning.defect_image(cl1_bad_cells(spark, sf_dir))
 
 
+# cleaning of all readings: those below 0, above the limit or infinite are the worst defects. cl1 to cl6 keep to the valid ones.
+
+_ALL = """WITH d AS (SELECT scene, y, x, band, max(value) AS value FROM cube_cells WHERE value IS NOT NULL AND NOT isnan(value) AND scene IS NOT NULL
+AND y IS NOT NULL AND x IS NOT NULL AND band IS NOT NULL GROUP BY scene, y, x, band)"""
+_BAD_ALL = """s AS (SELECT scene, band, avg(value) AS mean, stddev_pop(value) AS std FROM d WHERE NOT isinf(value) GROUP BY scene, band),
+bad AS (SELECT d.*, isinf(value) OR value < 0.1 OR coalesce(abs(value - mean) / (std + 1e-8) > 3, false) AS bad FROM d LEFT JOIN s USING (scene, band))"""
+_DEAD_ALL = """p AS (SELECT scene, band, x, avg(CASE WHEN NOT isinf(value) THEN value END) AS p FROM d GROUP BY ALL)""" + _DEAD[_DEAD.index(", z AS"):].replace("abs(p - m) > {t} * (sd + 1e-8) AS dead", "coalesce(abs(p - m) > {t} * (sd + 1e-8), p IS NULL) AS dead")
+
+
+def all_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frame.all_cells(table(spark, sf_dir, "cube_cells"))
+
+
+@query(_ALL + ", " + _BAD_ALL + " SELECT scene, y, x, band FROM bad WHERE bad")
+def cl1_bad_cells_all(spark, sf_dir):
+    return cleaning.bad_cells(all_cells(spark, sf_dir)).where("NOT good").select("scene", "y", "x", "band")
+
+
+@query(_ALL + ", " + _LINES)
+def cl2_line_defects_all(spark, sf_dir):
+    return cleaning.line_defects(all_cells(spark, sf_dir), fraction=0.5)
+
+
+@query(_ALL + ", " + _DEAD_ALL.format(t=30) + " SELECT scene, band, x, round(residual, 9) + 0.0 AS residual, dead FROM g")
+def cl3_dead_columns_all(spark, sf_dir):
+    return cleaning.dead_columns(all_cells(spark, sf_dir)).withColumn("residual", r("residual"))
+
+
+@query(_ALL + ", " + _BAD_ALL + ", " + _REPAIR.format(src="bad") + " SELECT scene, y, x, band, round(coalesce(sb, sx), 9) + 0.0 AS value FROM fx WHERE bad AND coalesce(sb, sx) IS NOT NULL")
+def cl4_repair_all(spark, sf_dir):
+    bad = cleaning.bad_cells(all_cells(spark, sf_dir)).withColumn("bad", ~F.col("good"))
+    return cleaning.repair(bad, "bad", "hybrid").where("repaired").select("scene", "y", "x", "band", r("value").alias("value"))
+
+
+@query(_ALL + ", " + _DEAD_ALL.format(t=3) + ", e2 AS (SELECT d.*, coalesce(dead, false) OR isinf(value) AS bad FROM d LEFT JOIN g USING (scene, band, x)), " + _REPAIR.format(src="e2")
+       + " SELECT scene, y, x, band, round(sb, 9) + 0.0 AS value FROM fx WHERE bad AND sb IS NOT NULL")
+def cl5_dead_pixel_processor_all(spark, sf_dir):
+    return cleaning.DeadPixelProcessor(threshold=3).clean(all_cells(spark, sf_dir)).where("repaired").select("scene", "y", "x", "band", r("value").alias("value"))
+
+
+@query(_ALL + ", " + _BAD_ALL + " SELECT scene, y, x, count(*) AS bands FROM bad WHERE bad GROUP BY ALL")
+def cl6_defect_image_all(spark, sf_dir):
+    return cleaning.defect_image(cl1_bad_cells_all(spark, sf_dir))
+
+
 # masks
 
 
