@@ -2,11 +2,15 @@
 
 import math
 import os
+import subprocess
+import sys
 from collections import Counter
 
 import duckdb
 import pytest
 
+import cubeframe
+from cubeframe import session
 from cubeframe.queries import core, reference
 
 QUERIES = core.QUERIES | reference.QUERIES
@@ -50,3 +54,23 @@ def test_entry_lists_agree():
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert set(QUERIES) <= set(e.queries())
+
+
+def test_a_missing_dependency_of_llm_is_not_swallowed():
+    code = "import sys; sys.modules['regex'] = None; import __spark_entry__"
+    done = subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))), capture_output=True, text=True)
+    assert done.returncode != 0 or not os.path.isdir(os.path.join(os.path.dirname(cubeframe.__file__), "llm")), done.stderr
+
+
+def test_a_cluster_without_a_shared_folder_is_refused(spark, monkeypatch):
+    class Scala:
+        def isDefined(self):
+            return False
+
+    class Context:
+        master = "spark://host:7077"
+        _jsc = type("J", (), {"sc": lambda self: type("S", (), {"getCheckpointDir": lambda self: Scala()})()})()
+
+    session_like = type("Spark", (), {"sparkContext": Context(), "conf": type("C", (), {"get": lambda self, key, default: default})()})()
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.ensure_checkpoint_dir(session_like)
