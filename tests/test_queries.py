@@ -57,7 +57,15 @@ def test_entry_lists_agree():
 
 
 def test_a_missing_dependency_of_llm_is_not_swallowed():
-    code = "import sys; sys.modules['regex'] = None; import __spark_entry__"
+    code = """
+import sys
+class Finder:
+    def find_spec(self, name, path=None, target=None):
+        if name == "cubeframe.llm.queries":
+            raise ModuleNotFoundError("No module named 'elsewhere'", name="elsewhere")
+sys.meta_path.insert(0, Finder())
+import __spark_entry__
+"""
     done = subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))), capture_output=True, text=True)
     assert done.returncode != 0 or not os.path.isdir(os.path.join(os.path.dirname(cubeframe.__file__), "llm")), done.stderr
 
