@@ -1,10 +1,18 @@
 """Mapping free-entered values to a canonical list.
 
-Values are brought to their distinct spellings, normalised, and cut into phrases (windows of as many words as the list's
-forms have). A character n-gram inverted index over the list's forms gives the candidates of each distinct phrase and,
-summed over the shared n-grams, their weighted cosine. A phrase stands for its best entry if that is above a threshold
-and ahead of any other entry by a margin (of candidates within two edits, fewer edits decide); a value takes the entry
-of its best phrase by the same rule; else it is unmatched (id 0) and reported.
+Values are brought to their distinct spellings, normalised, and cut into phrases: windows of up to as many words as the
+longest form of the list has. A character n-gram inverted index over the list's forms gives the candidates of each
+distinct phrase, and their weighted cosine decides. A phrase stands for its best entry if that is above a threshold and
+ahead of any other entry by a margin (of candidates within two edits, fewer edits decide); a value takes the entry of
+its best phrase by the same rule, where a phrase within a longer one that also stands for an entry (within two edits)
+does not count; else it is unmatched (id 0) and reported.
+
+Candidates come from the rarest n-grams of a phrase only (prefix filter). A shared n-gram has the same weight on both
+sides, so the most frequent ones are left out as long as their squared weights together cannot reach what the threshold
+asks of the phrase and the least form of a fitting length; a candidate whose rare n-grams fall short by more than the
+light ones could add is dropped before it is scored. No candidate above the threshold is lost, and the long postings of
+frequent n-grams are never read. Distinct phrases are spread over the shuffle's partitions once; n-grams, candidates and
+scores of a phrase stay where it is.
 
 All joins are plain equi-joins on n-grams or phrases; the index is broadcast only while its size is known to be small.
 
@@ -20,11 +28,11 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cubeframe.session import broadcast_if_small
+from cubeframe.session import broadcast_if_small, checkpointed
 
 THRESHOLD, MARGIN = 0.4, 0.05
 GRAMS = (2, 3)
@@ -32,8 +40,6 @@ GRAMS = (2, 3)
 SHORT, LENGTHS = 6, 0.25
 #: Up to so many edits, fewer edits count before the cosine.
 EDITS = 2
-#: Words of the longest phrase.
-WORDS = 2
 
 #: Letters that look like Latin ones (fixed values).
 LOOKALIKES = str.maketrans("аеорсухкмтнвіѕјһԁԛԝαεορτυχκνιøłđðı", "aeopcyxkmthbisjhdqwaeoptuxkviolddi")
@@ -55,28 +61,27 @@ def normalise(text: str) -> str:
     return re.sub(r"[^\W_]+", lambda m: m.group().replace("0", "o").replace("1", "l") if re.search(r"[^\W\d_]", m.group()) else m.group(), text)
 
 
-def phrases(text: str) -> list[str]:
-    """All windows of up to WORDS words, written together."""
-    words = re.findall(r"[^\W_]+", normalise(text))
-    return list(dict.fromkeys("".join(words[i : i + n]) for n in range(1, WORDS + 1) for i in range(len(words) - n + 1)))
+def _words(text: str | None) -> list[str]:
+    return re.findall(r"[^\W_]+", normalise(text or ""))
 
 
-def forms(name: str, latin: str, abbrev: str) -> list[str]:
+def phrases(text: str, longest: int) -> list[str]:
+    """All windows of up to ``longest`` words, written together."""
+    words = _words(text)
+    return list(dict.fromkeys("".join(words[i : i + n]) for n in range(1, longest + 1) for i in range(len(words) - n + 1)))
+
+
+def forms(name: str | None, latin: str | None, abbrev: str | None) -> list[str]:
     """Spellings of an entry: its names, the common name turned round, the Latin one shortened, the abbreviation."""
     out = []
-    common, lat = (re.findall(r"[^\W_]+", normalise(x or "")) for x in (name, latin))
+    common, lat = _words(name), _words(latin)
     if common:
         out += ["".join(common), "".join(common[-1:] + common[:-1])]
     if lat:
         out.append("".join(lat))
     if len(lat) > 1:
         out += [lat[0][0] + "".join(lat[1:]), lat[0][:3] + "".join(lat[1:])]
-    return [x for x in dict.fromkeys([*out, "".join(re.findall(r"[^\W_]+", normalise(abbrev or "")))]) if x]
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _phrases(text: pd.Series) -> pd.Series:
-    return text.map(phrases)
+    return [x for x in dict.fromkeys([*out, "".join(_words(abbrev))]) if x]
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -84,49 +89,99 @@ def _grams(text: pd.Series) -> pd.Series:
     return text.map(lambda s: list({f"^{s}$"[i : i + n] for n in GRAMS for i in range(len(s) + 3 - n)}))
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _forms(name: pd.Series, latin: pd.Series, abbrev: pd.Series) -> pd.Series:
-    return pd.Series([forms(*x) for x in zip(name, latin, abbrev)])
+def _gram_ids(text: str) -> Column:
+    return F.transform(_grams(text), lambda g: F.xxhash64(g))
+
+
+@F.pandas_udf(T.StructType([T.StructField("forms", T.ArrayType(T.StringType())), T.StructField("words", T.IntegerType())]))
+def _forms(name: pd.Series, latin: pd.Series, abbrev: pd.Series) -> pd.DataFrame:
+    """The entry's spellings and the words of its longest name."""
+    rows = [[None if pd.isna(v) else v for v in x] for x in zip(name, latin, abbrev)]
+    return pd.DataFrame({"forms": [forms(*x) for x in rows], "words": [max(len(_words(v)) for v in x) for x in rows]})
+
+
+def _index(entries: DataFrame) -> tuple[DataFrame, DataFrame, int, int]:
+    """(fid, species_id, form, form2, grams of every form; gram, fid, length, form2, w2 of every n-gram; n-grams; words of the longest phrase).
+
+    n-grams, forms and phrases are numbered by their 64-bit hashes.
+    """
+    spelt = entries.where("species_id IS NOT NULL").select("species_id", _forms("species_name", "latin_name", "abbrev").alias("f"))
+    form = spelt.select("species_id", "f.words", F.explode("f.forms").alias("form")).groupBy("species_id", "form").agg(F.max("words").alias("words"))
+    form = checkpointed(form.withColumns({"fid": F.xxhash64("species_id", "form"), "grams": _gram_ids("form")}))
+    n_forms, longest, size = form.agg(F.count("*"), F.coalesce(F.max("words"), F.lit(1)), F.coalesce(F.sum(F.size("grams")), F.lit(0))).first()
+    gram = form.select("fid", "species_id", F.length("form").alias("length"), F.explode("grams").alias("gram"))
+    w = F.log(F.lit(n_forms + 1.0) / F.col("df"))
+    weight = gram.groupBy("gram").agg(F.count_distinct("species_id").alias("df")).select("gram", (w * w).alias("w2"))
+    gram = gram.join(weight, "gram").withColumn("form2", F.sum("w2").over(Window.partitionBy("fid"))).select("gram", "fid", "length", "form2", "w2")
+    return form.select("fid", "species_id", "form", "grams"), checkpointed(gram), size, longest
+
+
+def _lengths(form: Column) -> tuple[Column, Column]:
+    """Least and largest length of a phrase that may stand for a form of so many letters."""
+    short = form < SHORT
+    return F.when(short, form).otherwise(F.ceil(form * (1 - LENGTHS) - 1e-9)).cast("int"), F.when(short, form).otherwise(F.floor(form / (1 - LENGTHS) + 1e-9)).cast("int")
 
 
 def match_values(values: DataFrame, column: str, entries: DataFrame, threshold: float = THRESHOLD, margin: float = MARGIN) -> DataFrame:
     """value, species_id (0: none), score: one row per distinct non-blank value of a column."""
-    distinct = values.select(F.col(column).alias("value")).where(F.regexp("value", F.lit(r"[^\s​ ﻿]"))).distinct()
-    form = entries.select("species_id", F.explode(_forms("species_name", "latin_name", "abbrev")).alias("form")).distinct()
-    n_forms = form.count()
-    index = form.withColumn("gram", F.explode(_grams("form")))
-    weight = index.groupBy("gram").agg(F.count_distinct("species_id").alias("df")).select("gram", F.log(F.lit(n_forms + 1.0) / F.col("df")).alias("w"))
-    top = math.log(n_forms + 1.0)  # of an n-gram that no form has
-    index = index.join(weight, "gram")
-    norm = index.groupBy("species_id", "form").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("form_norm"))
-    index = broadcast_if_small(index.join(norm, ["species_id", "form"]), n_forms * 60, 100)
-
-    of_value = distinct.withColumn("phrase", F.explode(_phrases("value")))
-    gram = of_value.select("phrase").distinct().withColumn("gram", F.explode(_grams("phrase")))
-    gram = gram.join(broadcast_if_small(weight, n_forms * 60, 40), "gram", "left")
-    phrase_norm = gram.groupBy("phrase").agg(F.sqrt(F.sum(F.coalesce(F.col("w") * F.col("w"), F.lit(top * top)))).alias("phrase_norm"))
-    # a form too short to tell a slip from another word must be met exactly
-    near = (F.col("phrase") == F.col("form")) | (
-        (F.length("form") >= SHORT) & (F.length("phrase") >= F.length("form") * (1 - LENGTHS)) & (F.length("phrase") * (1 - LENGTHS) <= F.length("form"))
-    )
+    forms_, index, size, longest = _index(entries)
+    n = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def windows(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: phrases(t, longest))
+
+    # spread by number: a small table may be long work, so it must not be put together into one partition
+    distinct = values.select(F.col(column).alias("value")).where(F.regexp("value", F.lit(r"[^\s\u200b\u00a0\ufeff]"))).distinct().repartition(n)
+    of_value = checkpointed(distinct.withColumn("phrase", F.explode_outer(windows("value"))).withColumn("ph", F.xxhash64("phrase")))
+    phrase = checkpointed(of_value.where("phrase IS NOT NULL").select("ph", "phrase").distinct()).repartition(n, "ph")
+
+    # the n-grams of a phrase, with their weights; one that no form has weighs most and matches nothing
+    least = index.select("length", "form2").distinct().select(F.explode(F.sequence(*_lengths(F.col("length")))).alias("length"), "form2").groupBy("length").agg(F.min("form2").alias("least2"))
+    weight = index.groupBy("gram").agg(F.first("w2").alias("w2"))
+    top = F.lit(math.log(forms_.count() + 1.0) ** 2)
+    gram = phrase.select("ph", F.length("phrase").alias("letters"), F.explode(_gram_ids("phrase")).alias("gram"))
+    gram = gram.join(F.broadcast(least), gram["letters"] == least["length"]).drop("length")  # one row per length; a length that no form comes near ends here
+    gram = gram.join(broadcast_if_small(weight, size, 40), "gram", "left").withColumn("known", F.col("w2").isNotNull())
+    of_phrase = Window.partitionBy("ph")
+    upto = F.sum(F.when(F.col("known"), F.col("w2")).otherwise(0.0)).over(of_phrase.orderBy(F.coalesce("w2", top), "gram"))
+    gram = gram.withColumns({"phrase2": F.sum(F.coalesce("w2", top)).over(of_phrase), "upto2": upto})
+    asked = lambda other: F.lit(threshold * (1 - 1e-9)) * F.sqrt(F.col("phrase2") * other)
+    gram = gram.withColumn("light", F.col("upto2") < asked(F.greatest(F.col("least2"), F.lit(threshold**2) * F.col("phrase2")))).where("known")
+    gram = gram.withColumn("light2", F.max(F.when(F.col("light"), F.col("upto2")).otherwise(0.0)).over(of_phrase))
+
+    rare = gram.where("NOT light").select("ph", "letters", "gram", "phrase2", "light2").join(broadcast_if_small(index, size, 80), "gram")
+    shortest, longest_ = _lengths(F.col("length"))
+    rare = rare.where((F.col("letters") >= shortest) & (F.col("letters") <= longest_))
+    met = rare.groupBy("ph", "fid").agg(F.sum("w2").alias("dot"), *(F.max(c).alias(c) for c in ("phrase2", "light2", "form2")))
+    met = met.where(F.col("dot") + F.least(F.col("light2"), F.col("form2") - F.col("dot")) >= asked(F.col("form2")))
+
+    # the candidates' light n-grams
+    light = gram.groupBy("ph").agg(F.collect_list(F.when(F.col("light"), F.col("gram"))).alias("light"))
+    listed = broadcast_if_small(forms_, size, 60)
+    shared = F.explode_outer(F.array_intersect("light", "grams")).alias("gram")
+    more = met.join(light, "ph").join(listed, "fid").select("ph", "fid", "species_id", "form", "dot", "phrase2", "form2", shared)
+    more = more.join(broadcast_if_small(weight, size, 40), "gram", "left").groupBy("ph", "fid", "species_id").agg((F.max("dot") + F.coalesce(F.sum("w2"), F.lit(0.0))).alias("dot"), F.max("phrase2").alias("phrase2"), F.max("form2").alias("form2"))
     scored = (
-        gram.where("w IS NOT NULL").select("phrase", "gram")
-        .join(index, "gram")
-        .where(near)
-        .groupBy("phrase", "species_id", "form")
-        .agg((F.sum(F.col("w") * F.col("w")) / F.first("form_norm")).alias("dot"))
-        .join(phrase_norm, "phrase")
-        .withColumn("score", F.col("dot") / F.col("phrase_norm"))
+        more.withColumn("score", F.col("dot") / F.sqrt(F.col("phrase2") * F.col("form2")))
         .where(F.col("score") >= threshold)
+        .join(phrase, "ph").join(broadcast_if_small(forms_.select("fid", "form"), size, 20), "fid")
+        .where((F.length("form") >= SHORT) | (F.col("phrase") == F.col("form")))  # a form too short to tell a slip from another word must be met exactly
         .withColumn("edits", F.least(F.levenshtein("phrase", "form"), F.lit(EDITS + 1)))
-        .groupBy("phrase", "species_id")
+        .groupBy("ph", "species_id")
         .agg(F.max("score").alias("score"), F.min("edits").alias("edits"))
     )
     # a phrase that two entries share (one word of a name) says nothing
-    kept = _ahead(scored, "phrase", margin)
-    best = of_value.join(kept, "phrase").groupBy("value", "species_id").agg(F.max("score").alias("score"), F.min("edits").alias("edits"))
+    kept = _ahead(scored, "ph", margin)
+    claims = of_value.join(kept, "ph")
+    # a claim within a longer one gives way to it: of "silver oak" and "great southern silver oak" the latter is meant
+    long = claims.where(F.col("edits") <= EDITS).groupBy("value").agg(F.collect_list("phrase").alias("long"))
+    outer = F.exists("long", lambda p: (F.length(p) > F.length("phrase")) & F.contains(p, F.col("phrase")))
+    claims = claims.join(long, "value", "left").where(~F.coalesce(outer, F.lit(False)))
+    best = claims.groupBy("value", "species_id").agg(F.max("score").alias("score"), F.min("edits").alias("edits"))
     taken = _ahead(best, "value", margin)
-    return distinct.join(taken, "value", "left").select("value", F.coalesce("species_id", F.lit(0)).cast("int").alias("species_id"), F.coalesce("score", F.lit(0.0)).alias("score"))
+    every = of_value.select("value").distinct()
+    return every.join(taken, "value", "left").select("value", F.coalesce("species_id", F.lit(0)).cast("int").alias("species_id"), F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 def _ahead(scored: DataFrame, key: str, margin: float) -> DataFrame:

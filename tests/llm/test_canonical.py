@@ -54,3 +54,49 @@ def test_held_out_slips(spark, data):
     rows = spark.createDataFrame(made, "truth int, species string")
     out = c.with_entry(rows, "species", spark.read.parquet(f"{data}/species_list.parquet")).collect()
     assert sum(r.truth == r.species_id for r in out) >= 0.99 * len(out)
+
+
+def test_names_of_three_to_five_words(spark):
+    entries = [(1, "great southern silver oak", None, None), (2, "black river tupelo", None, None), (3, "tall black river reed of home", None, None), (4, "silver oak", None, None)]
+    values = {
+        "great southern silver oak": 1, "Great Southern Silver Oak (dry)": 1, "great suthern silver oak": 1, "plot 7, great southern silver oak": 1, "black river tupelo": 2, "black river tupleo": 2,
+        "tall black river reed of home": 3, "tall black river reed of hme, sapwood": 3, "silver oak": 4, "silver oak no. 3": 4, "southern": 0,
+    }
+    rows = spark.createDataFrame(list(enumerate(values)), "mapping_id bigint, species string")
+    out = c.with_entry(rows, "species", spark.createDataFrame(entries, SCHEMA)).orderBy("mapping_id").collect()
+    assert {r.species: r.species_id for r in out} == values
+
+
+def test_prefix_filter_loses_nothing(spark, data):
+    """Every pair of a phrase and an entry above the threshold, by brute force over all forms."""
+    import math
+
+    entries = spark.read.parquet(f"{data}/species_list.parquet").collect()
+    form = {(r.species_id, f) for r in entries for f in c.forms(r.species_name, r.latin_name, r.abbrev)}
+    grams = lambda s: {f"^{s}$"[i : i + n] for n in c.GRAMS for i in range(len(s) + 3 - n)}
+    of = {}
+    for i, f in form:
+        for g in grams(f):
+            of.setdefault(g, set()).add(i)
+    top = math.log(len(form) + 1.0)
+    w2 = {g: math.log((len(form) + 1.0) / len(i)) ** 2 for g, i in of.items()}
+    size = lambda s: sum(w2.get(g, top * top) for g in grams(s))
+    values = [r.species for r in spark.read.parquet(f"{data}/mapping.parquet").select("species").distinct().where("species IS NOT NULL").limit(60).collect()]
+    want = {}
+    for v in values:
+        per = {}
+        for p in c.phrases(v, 2):
+            near = {}
+            for i, f in form:
+                a, b = len(p), len(f)
+                if p == f or (b >= c.SHORT and a >= b * (1 - c.LENGTHS) and a * (1 - c.LENGTHS) <= b):
+                    score = sum(w2[g] for g in grams(p) & grams(f)) / math.sqrt(size(p) * size(f))
+                    if score >= c.THRESHOLD:
+                        near[i] = max(near.get(i, 0), score)
+            for i, s in near.items():
+                per[i] = max(per.get(i, 0), s)
+        want[v] = max(per.values(), default=0)
+    df = spark.createDataFrame([(v,) for v in values], "species string")
+    got = c.match_values(df, "species", spark.createDataFrame(entries)).collect()
+    assert all(abs(r.score - want[r.value]) < 1e-9 for r in got if r.species_id)
+    assert sum(bool(r.species_id) for r in got) >= 0.8 * sum(s > 0 for s in want.values())
