@@ -44,9 +44,16 @@ def p4_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_scene_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same percentiles per scene and band over all deliveries of cube_cells."""
-    state = percentiles.counts(table(spark, sf_dir, "cube_cells"), ["load_date", "scene", "band"], "value")
-    return percentiles.percentiles(state, ["scene", "band"])
+    """The same percentiles per scene and band."""
+    state = percentiles.scene_counts(table(spark, sf_dir, "cube_cells"))
+    return percentiles.percentiles(percentiles.unpacked(state, ["group", "band"]), ["group", "band"]).withColumnRenamed("group", "scene")
+
+
+def p4_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same percentiles per region and band."""
+    regions = table(spark, sf_dir, "regions").select("scene", "y1", "y2", "x1", "x2", F.col("region_id").cast("int").alias("group"))
+    state = percentiles.region_counts(table(spark, sf_dir, "cube_cells"), regions)
+    return percentiles.percentiles(percentiles.unpacked(state, ["group", "band"]), ["group", "band"]).withColumnRenamed("group", "region_id")
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,9 +95,24 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p3_found, p3_splits, p4_percentiles, p4_scene_bands, p6_found, p6_unmatched, p7_containers, p7_usage, p8_found, p8_leaks, p9_found, p9_pieces)
+    for f in (p3_found, p3_splits, p4_percentiles, p4_scene_bands, p4_regions, p6_found, p6_unmatched, p7_containers, p7_usage, p8_found, p8_leaks, p9_found, p9_pieces)
 }
 
+
+def _percentiles_sql(source: str, key: str) -> str:
+    """Percentiles of source (key, band, b) over the readings, each position once."""
+    return (
+        f"""WITH d AS (SELECT scene, y, x, band, CAST(round(max(value) / 1e-4) AS BIGINT) AS b FROM cube_cells WHERE value IS NOT NULL AND NOT isnan(value) AND scene IS NOT NULL
+AND y >= 0 AND x >= 0 AND band >= 0 GROUP BY scene, y, x, band HAVING isfinite(max(value))), v AS ({source}),
+r AS (SELECT *, row_number() OVER (PARTITION BY {key}, band ORDER BY b) AS r, count(*) OVER (PARTITION BY {key}, band) AS n FROM v),
+w AS (SELECT {key}, band, max(n) AS n, """
+        + ", ".join(f"min(CASE WHEN r >= ceil(n * {p} - 1e-9) THEN b END) AS {c}" for c, p in percentiles.PROBS.items())
+        + f" FROM r GROUP BY {key}, band) SELECT {key}, band, n, "
+        + ", ".join(f"round({c} * 1e-4, 12) AS {c}" for c in percentiles.PROBS)
+        + " FROM w"
+    )
+
+
 SQL = {
     "p3_found": r"""
 WITH RECURSIVE s AS (SELECT DISTINCT scene, session_code, recapture_of FROM scenes WHERE scene IS NOT NULL),
@@ -106,14 +128,8 @@ ties AS (SELECT a, b FROM stars UNION SELECT refs.a, s.scene FROM refs JOIN s ON
 edges AS (SELECT a, b FROM ties WHERE a <> b UNION SELECT b, a FROM ties WHERE a <> b),
 reach AS (SELECT a AS scene, a AS other FROM edges UNION SELECT r.scene, e.b FROM reach r JOIN edges e ON e.a = r.other)
 SELECT scene, min(other) AS group_scene FROM reach GROUP BY scene""",
-    "p4_scene_bands": """
-WITH v AS (SELECT scene, band, CAST(round(value / 1e-4) AS BIGINT) AS b FROM cube_cells WHERE value IS NOT NULL AND isfinite(value)),
-r AS (SELECT *, row_number() OVER (PARTITION BY scene, band ORDER BY b) AS r, count(*) OVER (PARTITION BY scene, band) AS n FROM v),
-w AS (SELECT scene, band, max(n) AS n, """
-    + ", ".join(f"min(CASE WHEN r >= ceil(n * {p} - 1e-9) THEN b END) AS {c}" for c, p in percentiles.PROBS.items())
-    + " FROM r GROUP BY scene, band) SELECT scene, band, n, "
-    + ", ".join(f"round({c} * 1e-4, 12) AS {c}" for c in percentiles.PROBS)
-    + " FROM w",
+    "p4_scene_bands": _percentiles_sql("SELECT scene, band, b FROM d", "scene"),
+    "p4_regions": _percentiles_sql("SELECT CAST(region_id AS INTEGER) AS region_id, band, b FROM d JOIN regions r ON d.scene = r.scene AND y >= y1 AND y < y2 AND x >= x1 AND x < x2", "region_id"),
     "p9_found": """
 WITH c AS (SELECT doc_id, text, unnest(cell_starts) AS a, unnest(list_concat(cell_starts[2:], [length(text)])) AS b, generate_subscripts(cell_starts, 1) AS cell_no FROM documents)
 SELECT doc_id, CAST(cell_no AS INTEGER) AS cell_no FROM c WHERE strlen(substring(text, a + 1, b - a)) > 4096""",

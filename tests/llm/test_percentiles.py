@@ -50,3 +50,46 @@ def test_regions_days_and_repeats(spark):
     for (g, b), r in got.items():
         v = [c[4] for c in cells if c[3] == b and any(k[5] == g and k[1] is not None and k[1] <= c[1] < k[2] and k[3] <= c[2] < k[4] for k in regions)]
         assert r.n == len(v) and all(abs(r[c] - exact(v, q)) < 1e-9 for c, q in p.PROBS.items())
+
+
+def _cells(spark, rows):
+    df = spark.createDataFrame(rows, "scene string, y int, x int, band int, value double, d int")
+    return df.withColumn("load_date", F.date_add(F.lit("2025-01-01").cast("date"), F.col("d"))).drop("d")
+
+
+def _tidy(df, keys):
+    return sorted(map(tuple, df.select(*keys, "n", *p.PROBS).collect()))
+
+
+def test_states_of_days_built_apart_add_up_to_the_whole(spark):
+    """Day by day, each with what was delivered up to then; lines are late, repeated, and of scenes that come only once."""
+    rng = np.random.default_rng(7)
+    first = [(s, y, x, b, float(round(rng.random(), 4)), int(rng.integers(0, 4))) for s in ("s", "t", "u") for y in range(70) for x in range(20) for b in range(2)]
+    again = [(*first[i][:5], int(first[i][5] + rng.integers(0, 3))) for i in rng.choice(len(first), 3000)] + [(*r[:5], None) for r in first[:50]]
+    cells = _cells(spark, [r for r in first + again if not (r[0] == "u" and r[5] is not None and r[5] > 1)]).cache()
+    regions = spark.createDataFrame([("s", 3, 66, 2, 19, 1), ("t", 0, 70, 0, 9, 1), ("u", 0, 9, 0, 20, 2)], "scene string, y1 int, y2 int, x1 int, x2 int, group int")
+    for state_of in (lambda c, **how: p.region_counts(c, regions, **how), lambda c, **how: p.scene_counts(c, **how)):
+        apart = None
+        for d in range(6):
+            day = f"2025-01-{1 + d:02d}"
+            upto = cells.where(f"load_date <= '{day}'" + (" OR load_date IS NULL" if d == 5 else ""))
+            part = state_of(upto, since=day)
+            assert part.where(f"load_date < '{day}'").count() == 0
+            apart = part if apart is None else apart.union(part)
+        keys = ["group", "band"]
+        whole = _tidy(p.percentiles(p.unpacked(state_of(cells), keys), keys), keys)
+        assert _tidy(p.percentiles(p.unpacked(apart, keys), keys), keys) == whole and whole
+    assert sum(r[2] for r in whole) == cells.select("scene", "y", "x", "band").distinct().count()
+
+
+def test_any_number_of_bands(spark):
+    cells = _cells(spark, [("s", y, 0, b, 0.5, 0) for y in range(3) for b in (1, 4095, 4096, 5000, 10**6)])
+    regions = spark.createDataFrame([("s", 0, 3, 0, 1, 9), ("s", -5, 2, -5, 1, 8)], "scene string, y1 int, y2 int, x1 int, x2 int, group int")
+    got = {(r.group, r.band): r.n for r in p.percentiles(p.unpacked(p.region_counts(cells, regions), ["group", "band"]), ["group", "band"]).collect()}
+    assert got == {(g, b): n for g, n in ((9, 3), (8, 2)) for b in (1, 4095, 4096, 5000, 10**6)}
+    assert p.region_counts(cells, regions.where("false")).count() == 0 and p.region_counts(cells.where("false"), regions).count() == 0
+
+
+def test_a_null_day_counts(spark):
+    df = spark.createDataFrame([(None, "a", 0.1), (1, "a", 0.2), (1, None, 0.3)], "day int, g string, v double")
+    assert {(r.g, r.day, r.n) for r in p.counts(df, ["g"], "v", day="day").collect()} == {("a", None, 1), ("a", 1, 1)}
