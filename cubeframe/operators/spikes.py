@@ -8,37 +8,41 @@ part of a season). Three steps:
    random pool of readings by smallest hash.
 2. Scenes of several tiles get one profile: medians and deviations from the added counts per value on a fine grid, the
    smallest hashes of all pools. It reaches the tiles by broadcast if its counted size is small, else by shuffle.
-3. An isolation forest per scene, grown from its profile in every task that holds a tile of it, scores every reading on
-   level, difference, seasonal and run-length features. Explicit rules for physical limits and stuck runs apply to all
-   readings; readings with a score above ``min_score`` are spike candidates, which an exact check on the scene's band
-   decides.
+3. An isolation forest per scene scores every reading on level, difference, seasonal and run-length features. Its draws
+   are hashes of the scene's name, so that every task which holds a tile of the scene grows the same forest, whatever
+   else it holds. Explicit rules for physical limits and stuck runs apply to all readings; readings that score at least
+   the scene's threshold are spike candidates, which an exact check on the scene's band decides.
 
-Trees split between padded limits of their sample, so that values outside anything sampled fall into empty leaves: a
-spike needs no spike in the pool to stand out.
+The threshold is read off the forest itself: the least score that a reading beyond FAR deviations can have. It is the
+mean, over the trees, of the longest path to any leaf whose box reaches beyond FAR on the seasonal feature. No spike scores
+less, whatever its other features, so the exact check misses none. Trees split between padded limits of their sample,
+so that values outside anything sampled fall into empty leaves: a spike needs no spike in the pool to stand out.
 
 Defined results: null and NaN are missing, give no row and end a run; rows without a position are left out; a scene whose
-band has deviation 0 flags every reading that differs from its median; extra columns are ignored; an empty table gives
-an empty result.
+band has deviation 0 flags every reading that differs from its median; medians of scenes with several tiles are taken on
+a grid of GRID, those of others are exact; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cubeframe.operators.cells import by_tile, pack, pack_arrays, readings, together, unpack_arrays
-from cubeframe.session import BROADCAST_BYTES, broadcast_if_small
+from cubeframe.session import BROADCAST_BYTES, broadcast_if_small, checkpointed
 
 LOW, HIGH = 0.0, 1.25  # physical limits of a reflectance
 RUN = 6  # lines of a stuck run
 FAR = 10 * 1.4826  # deviations from the median
+CLIP = 50  # features go no further, in robust deviations
+SEASON, _BEYOND = 2, 9.9  # the seasonal feature; where "beyond FAR" begins on it, with room for rounding
 POOL, SAMPLE, TREES, DEPTH = 128, 64, 16, 6  # readings in a scene's pool, of a tree, trees, ceil(log2(SAMPLE))
 WEIGHTS = (0.2, 0.25, 0.4, 0.15)  # chance of a split on level, difference, season, run length
 GRID = 1e-6  # step of the counts from which medians of scenes with several tiles are taken
-MIN_SCORE = 0.36
 LINES, SAMPLES, BANDS = 512, 32, 16
 #: At most, of a scene: POOL readings and, of up to some thousand bands, a median and a deviation.
 _PROFILE_BYTES = 32 << 10
@@ -182,13 +186,16 @@ def _profiles(rows: DataFrame) -> DataFrame:
 
 
 def _features(stat: dict[str, np.ndarray], band, value, diff, run) -> np.ndarray:
-    """Rows of level, difference, season, run length; all but the last in robust deviations, cut at 50."""
+    """Rows of level, difference, season, run length; all but the last in robust deviations, cut at CLIP.
+
+    A reading fails the exact check just where its season is beyond 10: (10 * 1.4826 * mad + 1e-12) / (1.4826 * mad + 1e-13).
+    """
     i = np.minimum(np.searchsorted(stat["band"], band), len(stat["band"]) - 1)
-    med, scale = stat["median"][i], 1.4826 * stat["mad"][i] + 1e-9
+    med, scale = stat["median"][i], 1.4826 * stat["mad"][i] + 1e-13
     centre = np.median(stat["median"])
     spread = 1.4826 * np.median(np.abs(stat["median"] - centre)) + 1.4826 * np.median(stat["mad"]) + 1e-9
     f = np.stack([(value - centre) / spread, diff / scale, (value - med) / scale, run], 1)
-    return np.clip(f, -50, 50).astype(np.float32)
+    return np.clip(f, -CLIP, CLIP).astype(np.float32)
 
 
 def _average_path(n: np.ndarray) -> np.ndarray:
@@ -196,26 +203,35 @@ def _average_path(n: np.ndarray) -> np.ndarray:
     return np.where(n > 2, 2 * (np.log(np.maximum(n - 1, 1)) + 0.5772156649) - 2 * (n - 1) / n, np.where(n == 2, 1.0, 0.0))
 
 
-def grow(pools: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Isolation forests of many sources at once. pools: (sources, POOL, features).
+def _draws(seeds: np.ndarray, salt: int, *shape: int) -> np.ndarray:
+    """Numbers in [0, 1) for every source, of the given shape, that depend on its seed and the salt alone."""
+    n = int(np.prod(shape))
+    which = np.arange(n, dtype=np.int64) + (salt << 32)
+    h = _mix(np.repeat(seeds, n), np.tile(which, len(seeds)))
+    return (h / 2.0**63).reshape(len(seeds), *shape)
+
 
-    Returns feature and limit of the inner nodes (sources, TREES, 2^DEPTH) in heap order from 1, and the path lengths of
-    the leaves. Each tree gets SAMPLE readings of the pool; a node splits a random feature at a random place between the
-    limits of its readings, padded on both sides by their range and half a unit at least.
+def grow(pools: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Isolation forests of many sources at once. pools: (sources, POOL, features); seeds: a whole number per source.
+
+    Returns feature and limit of the inner nodes (sources, TREES, 2^DEPTH) in heap order from 1, the path lengths of the
+    leaves, and per source the least score of a reading whose seasonal feature is beyond FAR. Each tree gets SAMPLE readings
+    of the pool; a node splits a random feature at a random place between the limits of its readings, padded on both sides
+    by their range and half a unit at least.
     """
-    rng = np.random.default_rng(seed)
-    s, _, nf = pools.shape
-    pick = rng.integers(0, pools.shape[1], (TREES, SAMPLE))  # the same ranks in every source: the pools are random already
-    x = pools[:, pick.ravel(), :].reshape(s * TREES, SAMPLE, nf)
+    s, size, nf = pools.shape
+    pick = np.minimum((_draws(seeds, 1, TREES * SAMPLE) * size).astype(np.int64), size - 1)
+    x = np.take_along_axis(pools, pick[:, :, None], 1).reshape(s * TREES, SAMPLE, nf)
     trees = s * TREES
     feature, limit = np.zeros((trees, 2**DEPTH), np.int32), np.zeros((trees, 2**DEPTH), np.float32)
     node = np.ones((trees, SAMPLE), np.int64)
     path, base = np.full((trees, 2), -1.0), np.arange(trees)[:, None] * 2 ** (DEPTH + 1)
+    low, high = np.full((trees, 1), -np.inf, np.float32), np.full((trees, 1), np.inf, np.float32)  # seasons that reach a node
     for depth in range(DEPTH):
         m = 2**depth
         count = np.bincount((base + node).ravel(), minlength=trees * 2 ** (DEPTH + 1)).reshape(trees, -1)[:, m : 2 * m]
         path = np.where((path < 0) & (count <= 1), depth, path) if depth else np.full((trees, 1), -1.0)
-        f = rng.choice(nf, (trees, m), p=WEIGHTS)
+        f = np.minimum(np.searchsorted(np.cumsum(WEIGHTS), _draws(seeds, 2 + 2 * depth, TREES, m), "right"), nf - 1).reshape(trees, m)
         here = node - m
         v = np.take_along_axis(x, np.take_along_axis(f, here, 1)[:, :, None], 2)[:, :, 0]
         flat = (np.arange(trees)[:, None] * m + here).ravel()
@@ -226,18 +242,27 @@ def grow(pools: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
         empty = lo > hi
         lo, hi = np.where(empty, 0, lo), np.where(empty, 0, hi)
         pad = np.maximum(hi - lo, 0.5)
-        cut = (lo - pad + rng.random((trees, m)) * (hi - lo + 2 * pad)).astype(np.float32)
+        cut = (lo - pad + _draws(seeds, 3 + 2 * depth, TREES, m).reshape(trees, m) * (hi - lo + 2 * pad)).astype(np.float32)
         feature[:, m : 2 * m], limit[:, m : 2 * m] = f, cut
         node = 2 * node + (v >= np.take_along_axis(cut, here, 1))
         path = np.repeat(path, 2, 1)
+        season = f == SEASON
+        below, above = np.where(season, np.minimum(high, cut), high), np.where(season, np.maximum(low, cut), low)
+        low, high = np.stack([low, above], 2).reshape(trees, -1), np.stack([below, high], 2).reshape(trees, -1)
     count = np.bincount((base + node).ravel(), minlength=trees * 2 ** (DEPTH + 1)).reshape(trees, -1)[:, 2**DEPTH :]
-    path = np.where(path < 0, DEPTH + _average_path(count), path)
-    return feature.reshape(s, TREES, -1), limit.reshape(s, TREES, -1), path.reshape(s, TREES, -1).astype(np.float32)
+    path = np.where(path < 0, DEPTH + _average_path(count), path).astype(np.float32)
+    reached = (low < high) & ((high > _BEYOND) | (low <= -_BEYOND))
+    longest = np.where(reached, path, 0).max(1).reshape(s, TREES).sum(1)
+    return feature.reshape(s, TREES, -1), limit.reshape(s, TREES, -1), path.reshape(s, TREES, -1), _as_score(longest) * (1 - 1e-5)
+
+
+def _as_score(total: np.ndarray) -> np.ndarray:
+    return np.exp2(-total / TREES / _average_path(np.array([SAMPLE]))[0]).astype(np.float32)
 
 
-def score(forest: tuple[np.ndarray, np.ndarray, np.ndarray], source: np.ndarray, x: np.ndarray, block: int = 32768) -> np.ndarray:
+def score(forest: tuple[np.ndarray, ...], source: np.ndarray, x: np.ndarray, block: int = 32768) -> np.ndarray:
     """Isolation score of each row of x by the forest of its source: near 1 alone, under 0.5 ordinary."""
-    feature, limit, path = (a.reshape(-1) for a in forest)
+    feature, limit, path = (a.reshape(-1) for a in forest[:3])
     nf, inner = x.shape[1], 2**DEPTH
     out = np.empty(len(x), np.float32)
     for start in range(0, len(x), block):
@@ -255,10 +280,10 @@ def score(forest: tuple[np.ndarray, np.ndarray, np.ndarray], source: np.ndarray,
                 node += part.take(row + feature.take(at)) >= limit.take(at)
             total += path.take(base + node - np.int32(inner))
         out[start : start + n] = total
-    return np.exp2(-out / TREES / _average_path(np.array([SAMPLE]))[0]).astype(np.float32)
+    return _as_score(out)
 
 
-def _judge(all_scores: bool, min_score: float):
+def _judge(all_scores: bool):
     """Step 3, over whole tiles: rows of flagged readings, or of all."""
 
     def run(tiles: list[list[dict]]) -> pa.RecordBatch:
@@ -273,7 +298,7 @@ def _judge(all_scores: bool, min_score: float):
             pool = unpack_arrays(whole["scene_pool"] if whole else own["pool"], **_POOL)
             f = _features(stats[-1], pool["band"], pool["value"], pool["diff"], pool["run"])
             pools.append(f[np.arange(POOL) % len(f)] if len(f) else np.zeros((POOL, 4), np.float32))
-        forest = grow(np.stack(pools), seed=17)
+        forest = grow(np.stack(pools), np.array([zlib.crc32(name.encode()) for name in names], np.int64))
         source = np.concatenate([np.full(len(c["y"]), i) for i, c in enumerate(cells)])
         a = {k: np.concatenate([c[k] for c in cells]) for k in _FEATURED}
         diff = np.split(_differences(source, a)[1], np.cumsum([len(c["y"]) for c in cells])[:-1])
@@ -287,26 +312,27 @@ def _judge(all_scores: bool, min_score: float):
         mad = np.concatenate([s["mad"][i] for s, i in zip(stats, stat_of)])
         kind = np.zeros(len(v), np.int8)
         with np.errstate(invalid="ignore"):
-            kind[(marks >= min_score) & (np.abs(v - med) > FAR * mad + 1e-12)] = 3
+            kind[(marks >= forest[3][source]) & (np.abs(v - med) > FAR * mad + 1e-12)] = 3
         kind[a["run"] >= RUN] = 2
         kind[~((v >= LOW) & (v <= HIGH))] = 1
         keep = np.arange(len(v)) if all_scores else np.flatnonzero(kind)
         label = pa.DictionaryArray.from_arrays(pa.array(kind[keep].astype(np.int8)), pa.array(["none", "impossible", "stuck", "spike"])).cast(pa.string())
         scene = pa.DictionaryArray.from_arrays(pa.array(source[keep].astype(np.int32)), pa.array(names)).cast(pa.string())
         return pa.RecordBatch.from_arrays(
-            [scene, *(pa.array(a[c][keep]) for c in ("y", "x", "band")), pa.array(v[keep]), pa.array(marks[keep].astype(np.float64)), label], names=["scene", "y", "x", "band", "value", "score", "kind"]
+            [scene, *(pa.array(a[c][keep]) for c in ("y", "x", "band")), pa.array(v[keep]), pa.array(marks[keep].astype(np.float64)), pa.array(forest[3][source[keep]].astype(np.float64)), label],
+            names=["scene", "y", "x", "band", "value", "score", "threshold", "kind"],
         )
 
     return run
 
 
-def flag_readings(cells: DataFrame, all_scores: bool = False, min_score: float = MIN_SCORE) -> DataFrame:
-    """scene, y, x, band, value, score, kind of the faulty readings; with all_scores of every reading (kind ``none``).
+def flag_readings(cells: DataFrame, all_scores: bool = False) -> DataFrame:
+    """scene, y, x, band, value, score, threshold, kind of the faulty readings; with all_scores of every reading (kind ``none``).
 
-    The prepared tiles are persisted (memory, then disk) since profiles and scores both read them.
+    The prepared tiles are written to the checkpoint folder, since profiles and scores both read them.
     """
     packed = together(pack(cells, LINES, SAMPLES, BANDS, halo=RUN - 1))
-    prepared = by_tile(packed, _prepare, "scene string, tile bigint, n int, cells binary, stats binary, pool binary").persist(StorageLevel.MEMORY_AND_DISK)
+    prepared = checkpointed(by_tile(packed, _prepare, "scene string, tile bigint, n int, cells binary, stats binary, pool binary"))
     several = prepared.groupBy("scene").agg(F.count("*").alias("c")).where("c > 1").select("scene")
     n = several.count()
     none = F.lit(None).cast("binary")
@@ -320,4 +346,4 @@ def flag_readings(cells: DataFrame, all_scores: bool = False, min_score: float =
         else:
             to_tiles = theirs.select("scene", "tile").join(profiles, "scene").withColumn("n", F.lit(0))
             rows = together(prepared.unionByName(to_tiles, allowMissingColumns=True))
-    return by_tile(rows, _judge(all_scores, min_score), "scene string, y int, x int, band int, value double, score double, kind string")
+    return by_tile(rows, _judge(all_scores), "scene string, y int, x int, band int, value double, score double, threshold double, kind string")

@@ -32,9 +32,11 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_by_scene(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per scene and kind: readings and their isolation scores, over all readings."""
+    """Per scene and kind: readings, spike candidates and isolation scores, over all readings."""
     scored = spikes.flag_readings(table(spark, sf_dir, "cube_cells"), all_scores=True)
-    return scored.groupBy("scene", "kind").agg(F.count("*").alias("n"), F.avg("score").alias("mean_score"), F.max("score").alias("max_score"))
+    return scored.groupBy("scene", "kind").agg(
+        F.count("*").alias("n"), F.count_if(F.col("score") >= F.col("threshold")).alias("candidates"), F.min("score").alias("min_score"), F.max("score").alias("max_score"), F.first("threshold").alias("threshold")
+    )
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_wavelengths, p2_mapping, p5_found, p5_by_scene)}

@@ -100,7 +100,7 @@ def test_spikes_score_above_ordinary_readings():
     rng = np.random.default_rng(1)
     x = rng.normal(0, 1, (400, 4)).astype(np.float32)
     x[:, 3] = 1
-    forest = spikes.grow(x[None, :128], 3)
+    forest = spikes.grow(x[None, :128], np.array([3]))
     far = np.tile([20, 20, 20, 1], (5, 1)).astype(np.float32)
     ordinary, odd = spikes.score(forest, np.zeros(400, int), x), spikes.score(forest, np.zeros(5, int), far)
     assert odd.min() > np.quantile(ordinary, 0.99)
@@ -112,3 +112,44 @@ def test_packing_is_lossless():
     for x in (a, b, {"y": np.zeros(0, "<i4"), "value": np.zeros(0)}):
         back = packing.unpack_arrays(packing.pack_arrays(**x), y="<i4", value="<f8")
         assert all(np.array_equal(back[k], x[k], equal_nan=True) and (np.signbit(back[k]) == np.signbit(x[k])).all() for k in x)
+
+
+def test_forests_do_not_depend_on_their_neighbours(spark):
+    rng = np.random.default_rng(2)
+    pools = rng.normal(0, 1, (3, spikes.POOL, 4)).astype(np.float32)
+    seeds = np.array([11, 12, 13])
+    together = spikes.grow(pools, seeds)
+    for i in range(3):
+        alone = spikes.grow(pools[i : i + 1], seeds[i : i + 1])
+        assert all(np.array_equal(a[i], b[0]) for a, b in zip(together, alone))
+    assert not np.array_equal(together[0][0], together[0][1])
+    rows = [r for name in "abcdef" for r in scene(rng, name, 20)] + scene(rng, "long", 1100, 2, 2)
+    df, before = frame(spark, rows).cache(), spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        seen = []
+        for n in (2, 7):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            seen.append({tuple(r) for r in spikes.flag_readings(df.repartition(n), all_scores=True).select("scene", "y", "x", "band", "score", "kind").collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert seen[0] == seen[1]
+
+
+def test_no_reading_beyond_the_limit_scores_under_the_threshold():
+    rng = np.random.default_rng(3)
+    pools = np.concatenate([rng.normal(0, 1, (20, spikes.POOL, 4)), rng.choice([0, 0, 0, 50, -50, 30], (20, spikes.POOL, 4))]).astype(np.float32)
+    forest = spikes.grow(pools, np.arange(40))
+    x = rng.uniform(-50, 50, (40, 500, 4)).astype(np.float32)
+    x[:, :, spikes.SEASON] = rng.choice([-1, 1], (40, 500)) * rng.uniform(10, 50, (40, 500))
+    x[:, :250, [0, 1]] = 0
+    marks = spikes.score(forest, np.repeat(np.arange(40), 500), x.reshape(-1, 4)).reshape(40, 500)
+    assert (marks >= forest[3][:, None]).all() and (forest[3] > 0).all()
+
+
+def test_many_faulty_readings_are_all_found(spark):
+    """45 % of the readings far away form a cluster of their own; a band of deviation 0 flags all that differ."""
+    rng = np.random.default_rng(6)
+    rows = [("m", y, x, 0, float(round((0.9 if rng.random() < 0.45 else 0.3) + rng.normal(0, 0.001), 4)), 1) for y in range(60) for x in range(8)]
+    rows += [("z", y, x, 0, 0.7 if (y * 7 + x) % 20 == 0 else 0.5, 1) for y in range(60) for x in range(8)]
+    got = {(r.scene, r.y, r.x, r.band): r.kind for r in spikes.flag_readings(frame(spark, rows)).collect()}
+    assert got == brute(rows)
