@@ -1,17 +1,25 @@
 """Evaluation texts leaking into training text: pigeonhole edit matching with Myers' bit-parallel distance.
 
 Texts become words (runs of letters and digits, without case, accents, Unicode form, invisible characters or line
-breaks). Every passage of PASSAGE successive words of a test item is cut into ``edits`` + 1 pieces of words: a document
-that holds the passage with at most ``edits`` edits holds at least one piece exactly. The pieces of all passages of a block
-of items are one sorted array of hashes; a document is one array of word numbers, whose rolling hashes are looked up in
-it. Each hit names a passage and a place; passages equal word by word have distance 0, the others are verified with Myers'
-bit-parallel distance within the words around the place.
+breaks). A passage is a window of 12 or 24 successive words of a test item; it may be met with one edit (of a character or
+of a space between words) less than it has PIECE characters: three in 12 words of some 65 letters, seven in 24, enough
+for slips in the former and a dropped word in the latter.
 
-The documents are read once, in parallel, never shuffled; results are grouped. Items are taken in blocks of a bounded size,
-each block one pass, so that a task never holds more than one block however many items there are.
+1. Every passage is cut into as many pieces as its budget of edits plus one. The pieces are cut from the letters without
+   spaces, so that joined or parted words break no more than one: a document that holds the passage within the budget holds
+   a piece of it letter by letter. The items' pieces are a table (hash, item, place), made once.
+2. One pass over the documents: hashes of their letters, at every place, that pass a Bloom filter of the pieces' hashes
+   (of bounded size) leave as rows (document, hash, place). An equi-join with the table of pieces, broadcast only
+   while it is counted to be small, gives hits; those of a document, an item and a diagonal are one row.
+3. The documents with hits are joined with them, and every passage that a hit touches is verified in place with Myers'
+   bit-parallel distance. Distance 0 means the same words.
 
-Defined results: null texts hold nothing; an item of fewer than PASSAGE words has no passage; an item that leaks several
-times into a document gives one row; documents of any length are searched whole; empty tables give empty results.
+Nothing but the filter passes through the driver, no text is shuffled, and more items mean more rows, not more passes.
+
+Defined results: null texts hold nothing; an item of fewer words than the shortest passage has none; an item that leaks
+several times into a document gives one row, its closest passage; documents of any length are searched whole; repeated
+document or item ids with different texts count as one document or item with several texts; empty tables give empty
+results.
 """
 
 from __future__ import annotations
@@ -19,31 +27,88 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
-import regex
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
+
+from cubeframe.session import BROADCAST_BYTES, broadcast_if_small, checkpointed
 
-PASSAGE = 12
-EDITS = 1
-#: Bytes of item text in a block.
-BLOCK_BYTES = 16 << 20
+#: Words of a passage; letters of a piece (a power of two).
+PASSAGES, PIECE = (12, 24), 16
+#: Bits of the filter for each piece, and at most.
+FILTER_BITS, FILTER_MOST = 256, 1 << 28
+#: Characters that are hashed at once.
+BATCH = 4 << 20
 
 _WORD = re.compile(r"[^\W_]+")
-_MARKS = regex.compile(r"[\p{M}\p{Cf}]+")
-_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+_B = 0x9E3779B97F4A7C15
 
 
-def words(text: str) -> list[str]:
+def _fold(text: str) -> str:
+    """Lower case, compatibility form; marks are still there."""
     t = text.replace("\\n", " ")
     if t.isascii():
-        return _WORD.findall(t.lower())
-    return _WORD.findall(_MARKS.sub("", unicodedata.normalize("NFKD", t)).casefold())
+        return t.lower()
+    return unicodedata.normalize("NFKD", t).replace("ͅ", "").casefold()
+
+
+@lru_cache(1)
+def _kinds() -> np.ndarray:
+    """Of every code point: 1 letter or digit, 2 mark or format character (without a trace), 0 other."""
+    kind = np.zeros(0x110000, np.uint8)
+    for i in range(0x110000):
+        c = chr(i)
+        kind[i] = 2 if unicodedata.category(c) in ("Mn", "Mc", "Me", "Cf") else c.isalnum()
+    return kind
+
+
+def words(text: str) -> list[str]:
+    kind = _kinds()
+    return _WORD.findall("".join(c for c in _fold(text) if c.isascii() or kind[ord(c)] != 2))
+
+
+class Letters:
+    """Letters and digits of several texts, one after the other: chars, begins (of words), and where each text begins."""
 
+    def __init__(self, texts: list[str]):
+        folded = [_fold(t) for t in texts]
+        whole = "\n".join(folded)
+        a = np.frombuffer(whole.encode(), np.uint8) if whole.isascii() else np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
+        kind = _kinds()[a]
+        at = np.cumsum([0, *(len(f) + 1 for f in folded)])
+        if len(a) != len(whole):  # never, but for the encoders' promise
+            raise ValueError("one code unit a character")
+        if (kind == 2).any():
+            there = kind != 2
+            at = np.r_[0, np.cumsum(there)][np.minimum(at, len(there))]
+            a, kind = a[there], kind[there]
+        place = np.flatnonzero(kind == 1)
+        self.chars = a[place]
+        self.begins = np.r_[True, place[1:] != place[:-1] + 1][: len(place)]
+        self.first = np.searchsorted(place, at)
 
+    def hashes(self, size: int) -> np.ndarray:
+        """Hash of every ``size`` successive letters (a power of two), each sum of powers from two of half the length."""
+        h, step = self.chars.astype(np.uint64) + np.uint64(1), 1
+        while step < size:
+            h = h[:-step] * np.uint64(pow(_B, step, 1 << 64)) + h[step:] if len(h) > step else h[:0]
+            step *= 2
+        h = (h ^ (h >> np.uint64(29)) ^ np.uint64(size)) * np.uint64(0xBF58476D1CE4E5B9)
+        return h ^ (h >> np.uint64(32))
+
+    def spaced(self) -> tuple[str, np.ndarray]:
+        """The words with a space before each and one at the end, and the place in it of every letter."""
+        at = np.arange(len(self.chars)) + np.cumsum(self.begins)
+        out = np.full(len(self.chars) + int(self.begins.sum()) + 1, 32, np.uint32)
+        out[at] = self.chars
+        return out.tobytes().decode("utf-32-le", "surrogatepass"), at
+
+
+@lru_cache(1 << 16)
 def distance(pattern: str, text: str) -> int:
     """Least edit distance of the pattern to any stretch of the text (Myers 1999, one machine word of any width)."""
     m = len(pattern)
@@ -67,105 +132,180 @@ def distance(pattern: str, text: str) -> int:
     return best
 
 
-def _rolling(ids: np.ndarray, size: int) -> np.ndarray:
-    """Hash of every ``size`` successive word numbers."""
-    n = len(ids) - size + 1
-    h = np.zeros(n, np.uint64)
-    for j in range(size):
-        h = h * _MULTIPLIER + ids[j : j + n]
-    return h ^ (h >> np.uint64(31))
-
-
-class Index:
-    """Pieces of all passages of a block of items."""
-
-    def __init__(self, items: list[tuple[int, str]], passage: int, edits: int):
-        self.passage, self.edits, self.piece = passage, edits, passage // (edits + 1)
-        self.items = [(i, w) for i, t in items if t and len(w := words(t)) >= passage]
-        vocabulary = sorted({w for _, ws in self.items for w in ws})
-        self.number = {w: k for k, w in enumerate(vocabulary, 1)}
-        self.ids = [np.array([self.number[w] for w in ws], np.uint64) for _, ws in self.items]
-        h = [_rolling(x, self.piece) for x in self.ids]
-        hashes = np.concatenate(h) if h else np.zeros(0, np.uint64)
-        item = np.concatenate([np.full(len(x), k) for k, x in enumerate(h)]) if h else np.zeros(0, int)
-        place = np.concatenate([np.arange(len(x)) for x in h]) if h else np.zeros(0, int)
-        order = np.argsort(hashes, kind="stable")
-        self.hashes, self.item, self.place = hashes[order], item[order], place[order]
-        self.unique, self.first, self.count = np.unique(self.hashes, return_index=True, return_counts=True)
-
-    def search(self, text: str) -> list[tuple[int, int, int, int]]:
-        """(item id, passages with at most the allowed edits, fewest edits, first word of the document) per item."""
-        ws = words(text)
-        if len(ws) < self.piece or not len(self.unique):
-            return []
-        get = self.number.get
-        ids = np.fromiter((get(w, 0) for w in ws), np.uint64, len(ws))
-        known = np.r_[0, np.cumsum(ids > 0)]
-        starts = np.flatnonzero(known[self.piece :] - known[: -self.piece] == self.piece)
-        if not len(starts):
-            return []
-        h = np.zeros(len(starts), np.uint64)
-        for j in range(self.piece):
-            h = h * _MULTIPLIER + ids[starts + j]
-        h ^= h >> np.uint64(31)
-        at = np.minimum(np.searchsorted(self.unique, h), len(self.unique) - 1)
-        hit = self.unique[at] == h
-        starts, at = starts[hit], at[hit]
-        if not len(starts):
-            return []
-        many = self.count[at]
-        doc = np.repeat(starts, many)
-        entry = np.repeat(self.first[at] - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum())
-        item, place = self.item[entry], self.place[entry]
-        # each piece of a passage: the passage begins a whole number of pieces before the hit
-        p_item, p_start, p_doc = (np.concatenate(c) for c in zip(*((item, place - j * self.piece, doc - j * self.piece) for j in range(self.edits + 1))))
-        inside = (p_start >= 0) & (p_start + self.passage <= np.array([len(x) for x in self.ids])[p_item])
-        found = np.unique(np.stack([p_item[inside], p_start[inside], p_doc[inside]], 1), axis=0)
-        out: dict[int, list[int]] = {}
-        for k, s, d in found.tolist():
-            theirs = self.ids[k][s : s + self.passage]
-            if d >= 0 and d + self.passage <= len(ids) and np.array_equal(ids[d : d + self.passage], theirs):
-                edits = 0
-            elif self.edits:
-                around = " ".join(ws[max(0, d - 2) : d + self.passage + 2])
-                edits = max(1, distance(" " + " ".join(self.items[k][1][s : s + self.passage]) + " ", f" {around} "))
-            else:
-                continue
-            if edits <= self.edits:
-                o = out.setdefault(k, [0, edits, d])
-                o[:] = [o[0] + 1, min(o[1], edits), min(o[2], max(0, d))]
-        return [(self.items[k][0], *o) for k, o in out.items()]
-
-
-def _blocks(items: DataFrame, item: str, text: str) -> Iterator[list[tuple[int, str]]]:
-    block, size = [], 0
-    for i, t in items.select(item, text).where(F.col(text).isNotNull()).orderBy(item).toLocalIterator():
-        block.append((i, t))
-        size += len(t.encode())
-        if size >= BLOCK_BYTES:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
-
-
-def find_leaks(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "item_text", passage: int = PASSAGE, edits: int = EDITS) -> DataFrame:
-    """doc, item, passages, edits, first_word: items of which a passage stands in a document with at most ``edits`` edits."""
-    kind = docs.schema[doc].dataType.simpleString(), items.schema[item].dataType.simpleString()
-    schema = f"{doc} {kind[0]}, {item} {kind[1]}, passages int, edits int, first_word int"
-    plain = docs.select(doc, text).where(F.col(text).isNotNull())
-
-    def one(block: list[tuple[int, str]]) -> DataFrame:
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            index = Index(block, passage, edits)
-            for frame in frames:
-                rows = [(d, *r) for d, t in zip(frame[doc], frame[text]) for r in index.search(t)]
-                yield pd.DataFrame(rows, columns=[doc, item, "passages", "edits", "first_word"])
-
-        return plain.mapInPandas(run, schema)
-
-    parts = [one(b) for b in _blocks(items, item, item_text)]
-    if not parts:
-        return docs.sparkSession.createDataFrame([], schema)
-    found = reduce(DataFrame.union, parts)
-    return found.groupBy(doc, item).agg(F.sum("passages").alias("passages"), F.min("edits").alias("edits"), F.min("first_word").alias("first_word"))
+def budget(letters: int, edits: int | None) -> int:
+    """Edits that a passage of so many letters may be met with; edits: the same for all, else by length."""
+    return max(letters // PIECE - 1, 0) if edits is None else min(edits, letters - 1)
+
+
+class Item:
+    """A test item: its passages (first word, words, first letter, letter after the last, budget) and their pieces."""
+
+    def __init__(self, text: str, passages: tuple[int, ...], edits: int | None):
+        self.letters = x = Letters([text])
+        self.text, self.at = x.spaced()
+        starts = np.r_[np.flatnonzero(x.begins), len(x.chars)]
+        self.passages = [
+            (s, n, int(starts[s]), int(starts[s + n]), budget(int(starts[s + n] - starts[s]), edits)) for n in passages for s in range(len(starts) - n)
+        ]
+
+    def pieces(self) -> list[tuple[int, int]]:
+        """(length that is hashed, place) of the pieces of all passages, each once."""
+        out = set()
+        for _, _, a, b, e in self.passages:
+            size = (b - a) // (e + 1)
+            hashed = 1 << min(size, PIECE).bit_length() - 1
+            out.update((hashed, a + j * size) for j in range(e + 1))
+        return sorted(out)
+
+
+def _pieces(items: DataFrame, item: str, text: str, passages: tuple[int, ...], edits: int | None) -> DataFrame:
+    """hash, size, item, at of every piece."""
+    kind = items.schema[item].dataType
+    arrow = to_arrow_type(kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                one = Item(t, passages, edits)
+                places = one.pieces()
+                for size in sorted({s for s, _ in places}):
+                    at = np.array([a for s, a in places if s == size], np.int32)
+                    h = one.letters.hashes(size)[at].view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(at), size, np.int32)), pa.array([key] * len(at), arrow), pa.array(at)], names=["hash", "size", "item", "at"])
+
+    plain = items.select(F.col(item).alias("item"), F.col(text).alias("text")).where("item IS NOT NULL AND text IS NOT NULL")
+    return plain.mapInArrow(run, f"hash bigint, size int, item {kind.simpleString()}, at int")
+
+
+def _filter(pieces: DataFrame, n: int) -> np.ndarray:
+    """A Bloom filter of the hashes with two probes, as 64-bit words; their number is bounded."""
+    bits = 1 << 16
+    while bits < min(n * FILTER_BITS, FILTER_MOST):
+        bits *= 2
+    probes = F.explode(F.array(F.col("hash").bitwiseAND(bits - 1), F.shiftrightunsigned("hash", 32).bitwiseAND(bits - 1))).alias("p")
+    word = pieces.select(probes).select(F.shiftright("p", 6).alias("w"), F.expr("shiftleft(1L, cast(p & 63 as int))").alias("b"))
+    set_ = word.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    out = np.zeros(bits // 64, np.uint64)
+    out[set_.column("w").to_numpy()] = set_.column("b").to_numpy().view(np.uint64)
+    return out
+
+
+def _hits(docs: DataFrame, kind, filter_: np.ndarray, sizes: list[int]) -> DataFrame:
+    """doc, hash, pos: places of the documents whose letters pass the filter."""
+    shared, bits = docs.sparkSession.sparkContext.broadcast(filter_), np.uint64(len(filter_) * 64 - 1)
+    arrow = to_arrow_type(kind)
+
+    def passing(words_: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """Places in h, by both probes."""
+        at = np.arange(len(h))
+        for shift in (0, 32):
+            p = h[at] >> np.uint64(shift) & bits
+            at = at[(words_[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63)) & np.uint64(1)).astype(bool)]
+        return at
+
+    def search(keys: list, texts: list[str]) -> Iterator[pa.RecordBatch]:
+        x = Letters(texts)
+        for size in sizes:
+            h = x.hashes(size)
+            at = passing(shared.value, h)
+            doc = np.searchsorted(x.first, at, "right") - 1
+            ok = at + size <= x.first[doc + 1]
+            at, doc = at[ok], doc[ok]
+            # of letters that repeat with the same hash, the first and the last
+            same = (at[1:] == at[:-1] + 1) & (h[at[1:]] == h[at[:-1]]) & (doc[1:] == doc[:-1])
+            middle = np.zeros(len(at), bool)
+            middle[1:-1] = same[:-1] & same[1:]
+            at, doc = at[~middle], doc[~middle]
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in doc], arrow), pa.array(h[at].view(np.int64)), pa.array((at - x.first[doc]).astype(np.int32))], names=["doc", "hash", "pos"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, texts, n = [], [], 0
+        for batch in batches:
+            for key, t in zip(batch.column(0).to_pylist(), batch.column(1)):
+                t = t.as_py()
+                keys.append(key)
+                texts.append(t)
+                n += len(t)
+                if n >= BATCH:
+                    yield from search(keys, texts)
+                    keys, texts, n = [], [], 0
+        if texts:
+            yield from search(keys, texts)
+
+    return docs.mapInArrow(run, f"doc {kind.simpleString()}, hash bigint, pos int")
+
+
+@lru_cache(1 << 12)
+def _item(text: str, passages: tuple[int, ...], edits: int | None) -> Item:
+    return Item(text, passages, edits)
+
+
+def _verify(doc: Letters, text: str, at: np.ndarray, item: Item, diagonals: list[dict]) -> tuple[int, int, int] | None:
+    """(edits, words of the passage, first word in the document) of the closest passage within its budget.
+
+    diagonals: shift (place in the document less place in the item), lo and hi (places in the item of the first and last hit), n.
+    """
+    x, best = item.letters, None
+    word = lambda a: int(at[a] - a - 1)  # the number of the word that holds a letter
+    close = []
+    for d in sorted(diagonals, key=lambda d: -d["n"]):
+        shift = d["shift"]
+        lo, hi = max(0, -shift), min(len(x.chars), len(doc.chars) - shift)
+        off = np.r_[0, np.cumsum((x.chars[lo:hi] != doc.chars[lo + shift : hi + shift]) | (x.begins[lo:hi] != doc.begins[lo + shift : hi + shift]))]
+        for p in item.passages:
+            if p[2] <= d["hi"] and p[3] > d["lo"]:
+                inside = p[2] >= lo and p[3] <= hi
+                close.append((int(off[p[3] - lo] - off[p[2] - lo]) if inside else p[3] - p[2], -p[1], shift, p))
+    # those that agree letter by letter come first, then the others by their differences along the diagonal
+    for _, _, shift, (_, n, a, b, e) in sorted(close, key=lambda c: (c[0], c[1])):
+        limit = e if best is None else min(e, best[0] - 1)
+        if limit < 0:
+            break
+        left, right = max(a + shift - e, 0), min(b - 1 + shift + e, len(doc.chars) - 1)
+        if right < left:
+            continue
+        around = text[max(int(at[left]) - 1 - e, 0) : int(at[right]) + 2 + e]
+        edits = distance(item.text[item.at[a] - 1 : item.at[b - 1] + 2], around)
+        if edits <= limit:
+            best = edits, n, word(min(max(a + shift, 0), len(doc.chars) - 1))
+    return best
+
+
+def find_leaks(
+    docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "item_text", passages: tuple[int, ...] = PASSAGES, edits: int | None = None
+) -> DataFrame:
+    """doc, item, edits, words, first_word: items of which a passage stands in a document within its budget of edits.
+
+    edits: the fewest; words: those of the passage met so (of several the longest). edits=...: one budget for all passages.
+    """
+    kinds = docs.schema[doc].dataType, items.schema[item].dataType
+    out = f"doc {kinds[0].simpleString()}, item {kinds[1].simpleString()}, edits int, words int, first_word int"
+    named = lambda df: df.select(F.col("doc").alias(doc), F.col("item").alias(item), "edits", "words", "first_word")
+    pieces = checkpointed(_pieces(items, item, item_text, passages, edits))
+    n = pieces.count()
+    if not n:
+        return named(docs.sparkSession.createDataFrame([], out))
+    sizes = sorted(r["size"] for r in pieces.select("size").distinct().collect())  # powers of two up to PIECE
+    plain = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text")).where("doc IS NOT NULL AND text IS NOT NULL")
+    hits = _hits(plain, kinds[0], _filter(pieces, n), sizes).join(broadcast_if_small(pieces.select("hash", "item", "at"), n, 40), "hash")
+    diagonals = hits.groupBy("doc", "item", (F.col("pos") - F.col("at")).alias("shift")).agg(F.min("at").alias("lo"), F.max("at").alias("hi"), F.count("*").alias("n"))
+    met = diagonals.groupBy("doc", "item").agg(F.collect_list(F.struct("shift", "lo", "hi", "n")).alias("diagonals"))
+    texts = items.select(F.col(item).alias("item"), F.col(item_text).alias("item_text")).where("item_text IS NOT NULL")
+    met = checkpointed(met.join(texts, "item").groupBy("doc").agg(F.collect_list(F.struct("item", "item_text", "diagonals")).alias("met")))
+    size = met.agg(F.sum(F.lit(64) + F.aggregate("met", F.lit(0).cast("bigint"), lambda s, m: s + F.octet_length(m["item_text"]) + 40 * F.size(m["diagonals"])))).first()[0] or 0
+    to = to_arrow_schema(docs.sparkSession.createDataFrame([], out).schema)
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                d = Letters([row["text"]])
+                spaced, at = d.spaced()
+                found = [(row["doc"], m["item"], *r) for m in row["met"] if (r := _verify(d, spaced, at, _item(m["item_text"], passages, edits), m["diagonals"])) is not None]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*found), to.types)], schema=to)
+
+    rows = plain.join(F.broadcast(met) if size <= BROADCAST_BYTES else met, "doc").mapInArrow(check, out)
+    best = rows.groupBy("doc", "item").agg(F.min(F.struct("edits", (-F.col("words")).alias("w"), "first_word")).alias("m"))
+    return named(best.select("doc", "item", "m.edits", (-F.col("m.w")).alias("words"), "m.first_word"))

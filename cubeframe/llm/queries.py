@@ -76,7 +76,7 @@ def p7_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Passages of 12 words with at most one edit."""
+    """Passages of 12 and 24 words, with edits by their length."""
     return leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
