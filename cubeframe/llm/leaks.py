@@ -2,8 +2,7 @@
 
 Texts become words (runs of letters and digits, without case, accents, Unicode form, invisible characters or line
 breaks). A passage is a window of 12 or 24 successive words of a test item; it may be met with one edit (of a character or
-of a space between words) less than it has PIECE characters: three in 12 words of some 65 letters, seven in 24, enough
-for slips in the former and a dropped word in the latter.
+of a space between words) less than it has times PIECE letters: one in 12 words of some 65 letters, four in 24.
 
 1. Every passage is cut into as many pieces as its budget of edits plus one. The pieces are cut from the letters without
    spaces, so that joined or parted words break no more than one: a document that holds the passage within the budget holds
@@ -11,8 +10,9 @@ for slips in the former and a dropped word in the latter.
 2. One pass over the documents: hashes of their letters, at every place, that pass a Bloom filter of the pieces' hashes
    (of bounded size) leave as rows (document, hash, place). An equi-join with the table of pieces, broadcast only
    while it is counted to be small, gives hits; those of a document, an item and a diagonal are one row.
-3. The documents with hits are joined with them, and every passage that a hit touches is verified in place with Myers'
-   bit-parallel distance. Distance 0 means the same words.
+3. The documents with hits are joined with them. Of the passages that a hit touches, those that lack more three-letter
+   sequences about the diagonal than their edits could break cannot be there; the others are verified in place with
+   Myers' bit-parallel distance. Distance 0 means the same words.
 
 Nothing but the filter passes through the driver, no text is shuffled, and more items mean more rows, not more passes.
 
@@ -37,8 +37,10 @@ from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
 from cubeframe.session import BROADCAST_BYTES, broadcast_if_small, checkpointed
 
-#: Words of a passage; letters of a piece (a power of two).
-PASSAGES, PIECE = (12, 24), 16
+#: Words of a passage; letters of a piece.
+PASSAGES, PIECE = (12, 24), 24
+#: Letters of the sequences that are counted before a passage is verified; an edit breaks as many of them.
+SEQUENCE = 3
 #: Bits of the filter for each piece, and at most.
 FILTER_BITS, FILTER_MOST = 256, 1 << 28
 #: Characters that are hashed at once.
@@ -92,14 +94,20 @@ class Letters:
         self.first = np.searchsorted(place, at)
 
     def hashes(self, size: int) -> np.ndarray:
-        """Hash of every ``size`` successive letters (a power of two), each sum of powers from two of half the length."""
+        """Hash of every ``size`` successive letters: each sum of powers from two of half the length, the last two overlapping."""
         h, step = self.chars.astype(np.uint64) + np.uint64(1), 1
         while step < size:
-            h = h[:-step] * np.uint64(pow(_B, step, 1 << 64)) + h[step:] if len(h) > step else h[:0]
-            step *= 2
+            more = min(step, size - step)
+            h = h[:-more] * np.uint64(pow(_B, step, 1 << 64)) + h[more:] if len(h) > more else h[:0]
+            step += more
         h = (h ^ (h >> np.uint64(29)) ^ np.uint64(size)) * np.uint64(0xBF58476D1CE4E5B9)
         return h ^ (h >> np.uint64(32))
 
+    def sequences(self) -> np.ndarray:
+        """A number for every SEQUENCE successive letters."""
+        c, n = self.chars.astype(np.int64), max(len(self.chars) - SEQUENCE + 1, 0)
+        return sum(c[k : k + n] << 21 * k for k in range(SEQUENCE)) if n else c[:0]
+
     def spaced(self) -> tuple[str, np.ndarray]:
         """The words with a space before each and one at the end, and the place in it of every letter."""
         at = np.arange(len(self.chars)) + np.cumsum(self.begins)
@@ -147,13 +155,15 @@ class Item:
         self.passages = [
             (s, n, int(starts[s]), int(starts[s + n]), budget(int(starts[s + n] - starts[s]), edits)) for n in passages for s in range(len(starts) - n)
         ]
+        self.words, self.a, self.b, self.e = (np.array([p[k] for p in self.passages], np.int64) for k in (1, 2, 3, 4))
+        self.most, self.sequences = int(self.e.max(initial=0)), x.sequences()
 
     def pieces(self) -> list[tuple[int, int]]:
         """(length that is hashed, place) of the pieces of all passages, each once."""
         out = set()
         for _, _, a, b, e in self.passages:
             size = (b - a) // (e + 1)
-            hashed = 1 << min(size, PIECE).bit_length() - 1
+            hashed = PIECE if size >= PIECE else 1 << size.bit_length() - 1
             out.update((hashed, a + j * size) for j in range(e + 1))
         return sorted(out)
 
@@ -241,24 +251,25 @@ def _item(text: str, passages: tuple[int, ...], edits: int | None) -> Item:
     return Item(text, passages, edits)
 
 
-def _verify(doc: Letters, text: str, at: np.ndarray, item: Item, diagonals: list[dict]) -> tuple[int, int, int] | None:
+def _verify(doc: Letters, sequences: np.ndarray, text: str, at: np.ndarray, item: Item, diagonals: list[dict]) -> tuple[int, int, int] | None:
     """(edits, words of the passage, first word in the document) of the closest passage within its budget.
 
-    diagonals: shift (place in the document less place in the item), lo and hi (places in the item of the first and last hit), n.
+    diagonals: shift (place in the document less place in the item), lo and hi (places in the item of the first and last hit).
     """
-    x, best = item.letters, None
-    word = lambda a: int(at[a] - a - 1)  # the number of the word that holds a letter
-    close = []
-    for d in sorted(diagonals, key=lambda d: -d["n"]):
-        shift = d["shift"]
-        lo, hi = max(0, -shift), min(len(x.chars), len(doc.chars) - shift)
-        off = np.r_[0, np.cumsum((x.chars[lo:hi] != doc.chars[lo + shift : hi + shift]) | (x.begins[lo:hi] != doc.begins[lo + shift : hi + shift]))]
-        for p in item.passages:
-            if p[2] <= d["hi"] and p[3] > d["lo"]:
-                inside = p[2] >= lo and p[3] <= hi
-                close.append((int(off[p[3] - lo] - off[p[2] - lo]) if inside else p[3] - p[2], -p[1], shift, p))
-    # those that agree letter by letter come first, then the others by their differences along the diagonal
-    for _, _, shift, (_, n, a, b, e) in sorted(close, key=lambda c: (c[0], c[1])):
+    close, n = [], len(item.sequences)
+    for d in diagonals:
+        there = np.zeros(n, bool)
+        for shift in range(d["shift"] - item.most, d["shift"] + item.most + 1):
+            lo, hi = max(0, -shift), min(n, len(sequences) - shift)
+            if lo < hi:
+                there[lo:hi] |= item.sequences[lo:hi] == sequences[lo + shift : hi + shift]
+        lost = np.r_[0, np.cumsum(~there)]
+        lost = lost[np.maximum(item.b - SEQUENCE + 1, item.a)] - lost[np.minimum(item.a, n)]
+        may = np.flatnonzero((lost <= SEQUENCE * item.e) & (item.a <= d["hi"]) & (item.b > d["lo"]))
+        close += [(int(lost[k]), -int(item.words[k]), d["shift"], int(k)) for k in may]
+    best = None
+    for _, _, shift, k in sorted(close):
+        a, b, e = int(item.a[k]), int(item.b[k]), int(item.e[k])
         limit = e if best is None else min(e, best[0] - 1)
         if limit < 0:
             break
@@ -268,7 +279,8 @@ def _verify(doc: Letters, text: str, at: np.ndarray, item: Item, diagonals: list
         around = text[max(int(at[left]) - 1 - e, 0) : int(at[right]) + 2 + e]
         edits = distance(item.text[item.at[a] - 1 : item.at[b - 1] + 2], around)
         if edits <= limit:
-            best = edits, n, word(min(max(a + shift, 0), len(doc.chars) - 1))
+            first = min(max(a + shift, 0), len(doc.chars) - 1)
+            best = edits, int(item.words[k]), int(at[first] - first - 1)
     return best
 
 
@@ -289,8 +301,8 @@ def find_leaks(
     sizes = sorted(r["size"] for r in pieces.select("size").distinct().collect())  # powers of two up to PIECE
     plain = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text")).where("doc IS NOT NULL AND text IS NOT NULL")
     hits = _hits(plain, kinds[0], _filter(pieces, n), sizes).join(broadcast_if_small(pieces.select("hash", "item", "at"), n, 40), "hash")
-    diagonals = hits.groupBy("doc", "item", (F.col("pos") - F.col("at")).alias("shift")).agg(F.min("at").alias("lo"), F.max("at").alias("hi"), F.count("*").alias("n"))
-    met = diagonals.groupBy("doc", "item").agg(F.collect_list(F.struct("shift", "lo", "hi", "n")).alias("diagonals"))
+    diagonals = hits.groupBy("doc", "item", (F.col("pos") - F.col("at")).alias("shift")).agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
+    met = diagonals.groupBy("doc", "item").agg(F.collect_list(F.struct("shift", "lo", "hi")).alias("diagonals"))
     texts = items.select(F.col(item).alias("item"), F.col(item_text).alias("item_text")).where("item_text IS NOT NULL")
     met = checkpointed(met.join(texts, "item").groupBy("doc").agg(F.collect_list(F.struct("item", "item_text", "diagonals")).alias("met")))
     size = met.agg(F.sum(F.lit(64) + F.aggregate("met", F.lit(0).cast("bigint"), lambda s, m: s + F.octet_length(m["item_text"]) + 40 * F.size(m["diagonals"])))).first()[0] or 0
@@ -301,8 +313,8 @@ def find_leaks(
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
                 d = Letters([row["text"]])
-                spaced, at = d.spaced()
-                found = [(row["doc"], m["item"], *r) for m in row["met"] if (r := _verify(d, spaced, at, _item(m["item_text"], passages, edits), m["diagonals"])) is not None]
+                sequences, (spaced, at) = d.sequences(), d.spaced()
+                found = [(row["doc"], m["item"], *r) for m in row["met"] if (r := _verify(d, sequences, spaced, at, _item(m["item_text"], passages, edits), m["diagonals"])) is not None]
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*found), to.types)], schema=to)
 
