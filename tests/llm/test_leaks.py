@@ -76,7 +76,7 @@ def test_edits_within_the_budget(spark):
 def test_near_leaks_against_brute_force(spark):
     """Every passage of every item against every text: the same pairs and the same fewest edits."""
     rng = random.Random(11)
-    items = [(i, " ".join(rng.choice(VOCABULARY) for _ in range(rng.randrange(10, 18)))) for i in range(6)]
+    items = [(i, " ".join(rng.choice(VOCABULARY) for _ in range(rng.randrange(10, 34)))) for i in range(6)]
     docs = []
     for k in range(40):
         w = rng.choice(items)[1].split()
