@@ -76,7 +76,7 @@ def test_edits_within_the_budget(spark):
 def test_near_leaks_against_brute_force(spark):
     """Every passage of every item against every text: the same pairs and the same fewest edits."""
     rng = random.Random(11)
-    items = [(i, " ".join(rng.choice(VOCABULARY) for _ in range(rng.randrange(10, 34)))) for i in range(6)]
+    items = [(i, " ".join(rng.choice(VOCABULARY) for _ in range(rng.randrange(10, 34)))) for i in range(8)]
     docs = []
     for k in range(40):
         w = rng.choice(items)[1].split()
@@ -86,18 +86,19 @@ def test_near_leaks_against_brute_force(spark):
             p = rng.randrange(len(x))
             rng.choice([lambda: x.pop(p), lambda: x.insert(p, "q"), lambda: x.__setitem__(p, "z")])()  # noqa: B023
         docs.append((k, " ".join([*rng.choices(VOCABULARY, k=4), *("".join(x) for x in ws), *rng.choices(VOCABULARY, k=4)])))
-    want = {}
-    for k, t in docs:
-        plain = " " + " ".join(leaks.words(t)) + " "
-        for i, text in items:
-            one = leaks.Item(text, leaks.PASSAGES, None)
-            for _, _, a, b, e in one.passages:
-                n = leaks.distance(one.text[one.at[a] - 1 : one.at[b - 1] + 2], plain)
-                if n <= e:
-                    want[k, i] = min(n, want.get((k, i), n))
     d = spark.createDataFrame(docs, "doc_id bigint, text string")
-    got = leaks.find_leaks(d, spark.createDataFrame(items, "item_id int, item_text string")).collect()
-    assert {(r.doc_id, r.item_id): r.edits for r in got} == want and len({n for n in want.values()}) > 2
+    for passages, most in ((leaks.PASSAGES, 2), ((24,), 4)):
+        want = {}
+        for k, t in docs:
+            plain = " " + " ".join(leaks.words(t)) + " "
+            for i, text in items:
+                one = leaks.Item(text, passages, None)
+                for _, _, a, b, e in one.passages:
+                    n = leaks.distance(one.text[one.at[a] - 1 : one.at[b - 1] + 2], plain)
+                    if n <= e:
+                        want[k, i] = min(n, want.get((k, i), n))
+        got = leaks.find_leaks(d, spark.createDataFrame(items, "item_id int, item_text string"), passages=passages).collect()
+        assert {(r.doc_id, r.item_id): r.edits for r in got} == want and len(set(want.values())) >= most
 
 
 def test_planted_near_leaks_are_found(spark, data):
