@@ -5,12 +5,17 @@ third of all nodes is spread like any other rows. Each round every node sends it
 smallest member to its cluster, until nothing changes; the number of rounds grows with the logarithm of the largest
 distance. Each round is checkpointed.
 
-Assignment: every component draws, for each split, a number from a hash of its name and a seed; the split with the
-smallest -ln(u) / share takes it. No coordination is needed and a component never moves when others come or go. Of a
-fixed number of seeds the one is taken whose shares come nearest to the targets, overall and per stratum.
+Assignment: every component draws, for each split, a number from a hash of its name and a fixed seed; the split with the
+smallest -ln(u) / weight takes it. The weights are the shares, times factors that balance the strata: each round adds up
+what every stratum has in every split and raises the factors of what it lacks; a component uses the mean of its strata's
+factors. The draws never change, so that a round moves only components near the margin. ``rounds=0`` is the plain hash:
+no component ever moves, and the shares deviate by chance. With ``previous``, a table of records and their splits, every
+component that holds one of them keeps its split (that of its smallest such record), and the factors place the others
+only: with it no record moves when others come, and what comes makes up for what is out of balance.
 
 Defined results: null keys tie nothing; a node without ties is its own component; ties to absent nodes are left out by the
-caller's join; repeated edges count once.
+caller's join; repeated edges count once; strata without weight count for nothing; records of ``previous`` that are no
+more, or whose split is unknown, are left out.
 """
 
 from __future__ import annotations
@@ -20,10 +25,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cubeframe.session import checkpointed
+from cubeframe.session import broadcast_if_small, checkpointed
 
 SHARES = {"train": 0.8, "validation": 0.1, "test": 0.1}
-SEEDS = 32
+SEED = 0
+#: Rounds in which the factors are fitted, and how far each goes (1: by the whole ratio of what is wanted to what is there).
+ROUNDS, PACE = 8, 0.7
 
 
 def code_key(code: Column) -> Column:
@@ -69,27 +76,52 @@ def scene_ties(scenes: DataFrame, mapping: DataFrame) -> DataFrame:
     return star_edges(named, "session", "scene").union(star_edges(specimens, "specimen", "scene")).union(recaptures)
 
 
-def rendezvous(key: Column, seed: Column, shares: dict[str, float]) -> Column:
+def rendezvous(key: Column, seed: int, shares: dict[str, float | Column]) -> Column:
     """The split of a key: smallest -ln(u) / share, u from a hash of key, split and seed."""
 
-    def draw(name: str, share: float) -> Column:
-        u = (F.pmod(F.xxhash64(key, F.lit(name), seed), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
-        return F.struct((-F.log(u) / F.lit(share)).alias("draw"), F.lit(name).alias("name"))
+    def draw(name: str, share: float | Column) -> Column:
+        u = (F.pmod(F.xxhash64(key, F.lit(name), F.lit(seed)), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
+        return F.struct((-F.log(u) / (share if isinstance(share, Column) else F.lit(share))).alias("draw"), F.lit(name).alias("name"))
 
-    return F.array_min(F.array(*(draw(n, s) for n, s in shares.items() if s > 0)))["name"]
+    return F.array_min(F.array(*(draw(n, s) for n, s in shares.items() if isinstance(s, Column) or s > 0)))["name"]
 
 
-def split_groups(groups: DataFrame, strata: DataFrame, shares: dict[str, float] = SHARES, seeds: int = SEEDS) -> DataFrame:
+def split_groups(groups: DataFrame, strata: DataFrame, shares: dict[str, float] = SHARES, seed: int = SEED, rounds: int = ROUNDS, previous: DataFrame | None = None) -> DataFrame:
     """groups (record, component) with split; strata: component, stratum, weight to be spread as the shares say.
 
-    Each stratum counts by the root of its weight, the size at which chance deviations stand.
+    Each stratum counts by the root of its weight, the size at which chance deviations stand. previous: record, split.
+    Of all rounds the one is taken whose strata come nearest to the shares.
     """
-    weights = checkpointed(strata.groupBy("component", "stratum").agg(F.sum("weight").alias("weight")))
-    tried = weights.withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1)))).withColumn("split", rendezvous(F.col("component"), F.col("seed"), shares))
-    per = tried.groupBy("seed", "stratum").agg(*(F.sum(F.when(F.col("split") == n, F.col("weight")).otherwise(0)).alias(n) for n in shares), F.sum("weight").alias("_all"))
-    off = reduce(lambda p, q: p + q, (F.abs(F.col(n) - F.col("_all") * s) for n, s in shares.items())) / F.sqrt("_all")
-    best = per.where("_all > 0").groupBy("seed").agg(F.sum(off).alias("off")).orderBy("off", "seed").first()
-    return groups.withColumn("split", rendezvous(F.col("component"), F.lit(best["seed"] if best else 0), shares))
+    shares = {n: v for n, v in shares.items() if v > 0}
+    weights = strata.where("component IS NOT NULL AND stratum IS NOT NULL").groupBy("component", "stratum").agg(F.sum("weight").alias("weight")).where("weight > 0")
+    weights = weights.join(weights.groupBy("stratum").agg(F.sum("weight").alias("whole")), "stratum").withColumn("counts", F.col("weight") / F.sqrt("whole"))
+    weights = checkpointed(weights)
+    held = groups.select("component").where("false").withColumn("held", F.lit(None).cast("string"))
+    if previous is not None:
+        known = previous.where(F.col("split").isin(*shares)).select(F.col("record").alias("_r"), F.col("split").alias("_s"))
+        held = checkpointed(groups.join(known, F.col("record") == F.col("_r")).groupBy("component").agg(F.min_by("_s", "record").alias("held")))
+    factors = checkpointed(weights.select("stratum").distinct().select("stratum", *(F.lit(0.0).alias(n) for n in shares)))
+    n_strata = factors.count()
+
+    def assigned(factors: DataFrame) -> DataFrame:
+        """component, split of the components in a stratum."""
+        mean = weights.join(broadcast_if_small(factors, n_strata, 100), "stratum").groupBy("component")
+        mean = mean.agg(*((F.sum(F.col("counts") * F.col(n)) / F.sum("counts")).alias(n) for n in shares)).join(held, "component", "left")
+        weighted = {n: F.lit(v) * F.exp(F.col(n)) for n, v in shares.items()}
+        return mean.select("component", F.coalesce("held", rendezvous(F.col("component"), seed, weighted)).alias("split"))
+
+    best, best_off = factors, None
+    for k in range(rounds + 1 if n_strata else 0):
+        there = weights.join(assigned(factors), "component").groupBy("stratum").agg(F.first("whole").alias("whole"), *(F.sum(F.when(F.col("split") == n, F.col("weight")).otherwise(0)).alias(n) for n in shares))
+        there = checkpointed(there)
+        off = there.agg(F.sum(reduce(lambda p, q: p + q, (F.abs(F.col(n) - F.col("whole") * v) for n, v in shares.items())) / F.sqrt("whole"))).first()[0]
+        if best_off is None or off < best_off:
+            best, best_off = factors, off
+        if k < rounds:
+            lacks = {n: F.lit(PACE) * F.log((F.col("whole") * v + F.sqrt("whole")) / (F.col(n) + F.sqrt("whole"))) for n, v in shares.items()}
+            factors = checkpointed(factors.join(there.select("stratum", *(x.alias(f"_{n}") for n, x in lacks.items())), "stratum").select("stratum", *((F.col(n) + F.col(f"_{n}")).alias(n) for n in shares)))
+    out = groups.join(assigned(best).withColumnRenamed("split", "_split"), "component", "left").join(held, "component", "left")
+    return out.select(*groups.columns, F.coalesce("held", "_split", rendezvous(F.col("component"), seed, shares)).alias("split"))
 
 
 def scene_groups(scenes: DataFrame, mapping: DataFrame) -> DataFrame:

@@ -68,6 +68,39 @@ def test_shares_and_unity(spark):
 
 def test_a_component_stays_when_others_come(spark):
     key = spark.range(500).select(F.col("id").cast("string").alias("c"))
-    one = {r.c: r.s for r in key.select("c", splits.rendezvous(F.col("c"), F.lit(3), splits.SHARES).alias("s")).collect()}
-    two = {r.c: r.s for r in key.where("c < 100").select("c", splits.rendezvous(F.col("c"), F.lit(3), splits.SHARES).alias("s")).collect()}
+    one = {r.c: r.s for r in key.select("c", splits.rendezvous(F.col("c"), 3, splits.SHARES).alias("s")).collect()}
+    two = {r.c: r.s for r in key.where("c < 100").select("c", splits.rendezvous(F.col("c"), 3, splits.SHARES).alias("s")).collect()}
     assert all(one[c] == s for c, s in two.items())
+
+
+def _scenes(spark, n):
+    """Components of one to four scenes, each with entries of some of 20 species."""
+    rng = random.Random(21)
+    groups, strata = [], []
+    for c in range(n):
+        for k in range(rng.choice([1, 1, 1, 2, 4])):
+            groups.append((f"s{c:05d}-{k}", f"c{c:05d}"))
+            strata += [(f"c{c:05d}", "scenes", 1)] + [(f"c{c:05d}", f"species {rng.randrange(20)}", 1) for _ in range(3)]
+    return spark.createDataFrame(groups, "record string, component string"), spark.createDataFrame(strata, "component string, stratum string, weight bigint")
+
+
+def test_none_moves_when_a_tenth_more_comes(spark):
+    before, strata = _scenes(spark, 1000)
+    more, more_strata = _scenes(spark, 1100)
+    first = splits.split_groups(before, strata).cache()
+    old = {r.record: r.split for r in first.collect()}
+    new = {r.record: r.split for r in splits.split_groups(more, more_strata, previous=first.select("record", "split")).collect()}
+    assert all(new[k] == v for k, v in old.items()) and len(new) > len(old)
+    for of in (old, new):
+        shares = {s: sum(v == s for v in of.values()) / len(of) for s in splits.SHARES}
+        assert all(abs(shares[s] - v) < 0.01 for s, v in splits.SHARES.items()), shares
+    plain, more_plain = ({r.record: r.split for r in splits.split_groups(g, s, rounds=0).collect()} for g, s in ((before, strata), (more, more_strata)))
+    assert all(more_plain[k] == v for k, v in plain.items())
+
+
+def test_groups_without_strata_and_unknown_splits(spark):
+    groups, strata = _scenes(spark, 30)
+    known = spark.createDataFrame([("s00003-0", "test"), ("gone", "test"), ("s00004-0", "elsewhere"), (None, "test")], "record string, split string")
+    got = {r.record: r.split for r in splits.split_groups(groups, strata.where("false"), previous=known).collect()}
+    assert len(got) == groups.count() and got["s00003-0"] == "test" and set(got.values()) <= set(splits.SHARES)
+    assert splits.split_groups(groups.where("false"), strata.where("false")).count() == 0
