@@ -108,6 +108,19 @@ class DeadPixelProcessor:
         return repair(marked, "bad", self.method)
 
 
+def defect_overlay(cells: DataFrame, bad: DataFrame, band: int) -> DataFrame:
+    """scene, y, x, value, defect: the readings of one band, and which of them are defective. bad: scene, y, x, band."""
+    marked = bad.where(F.col("band") == band).select("scene", "y", "x").distinct().withColumn("defect", F.lit(True))
+    one = cells.where(F.col("band") == band).select("scene", "y", "x", "value")
+    return one.join(marked, ["scene", "y", "x"], "left").withColumn("defect", F.coalesce("defect", F.lit(False)))
+
+
+def first_defects(defects: DataFrame, n: int = 40) -> DataFrame:
+    """scene, rank, x, band: the first n defective columns of every scene, by sample and band. defects: scene, band, x."""
+    order = F.row_number().over(Window.partitionBy("scene").orderBy("x", "band"))
+    return defects.withColumn("rank", order).where(F.col("rank") <= n).select("scene", "rank", "x", "band")
+
+
 def defect_image(bad: DataFrame) -> DataFrame:
     """scene, y, x, bands: defective bands per pixel. bad: scene, y, x, band."""
     return bad.groupBy("scene", "y", "x").agg(F.count("*").alias("bands"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from cubeframe.frame import extent, pixels
 from cubeframe.functions import spectra as S
 from cubeframe.operators import spatial
-from cubeframe.operators.stats import entropy, otsu
+from cubeframe.operators.stats import entropy, otsu, quantile
 
 PIXEL = ["scene", "y", "x"]
 
@@ -57,7 +57,7 @@ def contrast_votes(cells: DataFrame, top_n: int = 5, boost: tuple[float, float]
     scaled = F.coalesce(F.try_divide(F.col("value") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0))
     boosted = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("s") - boost[0]) / (boost[1] - boost[0])))
     kept = kept.join(limits, ["scene", "band"]).withColumn("s", scaled).select(*PIXEL, "band", boosted.alias("v"))
-    dark = kept.groupBy("scene", "band").agg(F.percentile("v", F.lit(shadow_quantile)).alias("q"))
+    dark = quantile(kept, ["scene", "band"], "v", shadow_quantile).withColumnRenamed("quantile", "q")
     kept = kept.join(dark, ["scene", "band"]).select(*PIXEL, "band", F.when(F.col("v") < F.col("q"), 0.0).otherwise(F.col("v")).alias("v"))
     return kept.join(otsu(kept, ["scene", "band"]), ["scene", "band"]).groupBy(*PIXEL).agg(F.count_if(F.col("v") > F.col("threshold")).alias("votes"))
 
@@ -91,19 +91,37 @@ def spectral_angle(angle: DataFrame, mode: str = "otsu", degrees: float = 10.0,
     return angle.where(~under if is_background else under).select(*PIXEL)
 
 
-def tidy(mask: DataFrame, size: DataFrame, min_size: int = 500, radius: int = 2) -> DataFrame:
-    """Small objects out, holes filled, opened and closed with a disk."""
-    mask = spatial.fill_holes(spatial.remove_small_objects(mask, min_size), size)
-    return spatial.closing(spatial.opening(mask, spatial.disk(radius), size), spatial.disk(radius), size)
+def bright(intensity: DataFrame, shadow_quantile: float = 0.1, least: float = 1e-6) -> DataFrame:
+    """Pixels brighter than the quantile of their scene and than ``least``. intensity: scene, y, x, v."""
+    limit = quantile(intensity, ["scene"], "v", shadow_quantile)
+    return intensity.join(limit, "scene").where((F.col("v") > F.col("quantile")) & (F.col("v") > least)).select(*PIXEL)
+
+
+def norms(pixel: DataFrame) -> DataFrame:
+    """scene, y, x, v: the length of every spectrum, the intensity by which shadows are told from the spectral angle's pixels."""
+    return pixel.select(*PIXEL, F.sqrt(F.aggregate("spectrum", F.lit(0.0), lambda s, x: s + x * x)).alias("v"))
+
+
+def tidy(mask: DataFrame, size: DataFrame, min_size: int = 500, radius: int = 2, fill: bool = True, smooth_sigma: float | None = None) -> DataFrame:
+    """Small objects out, holes filled, opened and closed with a disk; smoothed by a Gaussian and cut at one half if asked."""
+    mask = spatial.remove_small_objects(mask, min_size)
+    if fill:
+        mask = spatial.fill_holes(mask, size)
+    mask = spatial.closing(spatial.opening(mask, spatial.disk(radius), size), spatial.disk(radius), size)
+    if smooth_sigma is None:
+        return mask
+    grid = spatial.complement(mask.where("false"), size)
+    plane = grid.join(mask.withColumn("v", F.lit(1.0)), PIXEL, "left").select(*PIXEL, F.coalesce("v", F.lit(0.0)).alias("v"))
+    return spatial.gaussian(plane, smooth_sigma).where("v > 0.5").select(*PIXEL)
 
 
 def highpass(plane: DataFrame, sigma: float = 5.0) -> DataFrame:
     """scene, y, x, v: the plane less its Gaussian, scaled to 0..1 per scene."""
     low = spatial.gaussian(plane, sigma).withColumnRenamed("v", "g")
     diff = plane.join(low, PIXEL).select(*PIXEL, (F.col("v") - F.col("g")).alias("d"))
-    w = Window.partitionBy("scene")
-    lo, hi = F.min("d").over(w), F.max("d").over(w)
-    return diff.select(*PIXEL, F.coalesce(F.try_divide(F.col("d") - lo, hi - lo), F.lit(0.0)).alias("v"))
+    limits = diff.groupBy("scene").agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
+    scaled = F.try_divide(F.col("d") - F.col("lo"), F.col("hi") - F.col("lo"))
+    return diff.join(limits, "scene").select(*PIXEL, F.coalesce(scaled, F.lit(0.0)).alias("v"))
 
 
 def highpass_otsu(plane: DataFrame, sigma: float = 5.0, min_size: int = 500, hole_size: int = 100, invert: bool = False) -> DataFrame:
@@ -134,11 +152,34 @@ def component_scores(components: DataFrame, mode: str = "contrast") -> DataFrame
     return components.groupBy(*keys).agg(score.alias("score"))
 
 
-def component_mask(components: DataFrame, mode: str = "contrast") -> DataFrame:
-    """True pixels of the best component of each scene, above its Otsu threshold."""
-    best = component_scores(components, mode).groupBy("scene").agg(F.max_by("band", F.struct(F.round("score", 12), -F.col("band"))).alias("band"))
-    one = components.join(best, ["scene", "band"]).select(*PIXEL, F.col("value").alias("v"))
-    return one.join(otsu(one, ["scene"]), "scene").where("v > threshold").select(*PIXEL)
+def component_mask(components: DataFrame, selection: str | int = "contrast", mode: str = "threshold", threshold: float = 0.9, lower: float = 0.3, upper: float = 0.7) -> DataFrame:
+    """True pixels of one component of each scene: that of a given number, or the best by contrast, std, entropy or otsu.
+
+    mode ``threshold``: above its Otsu threshold; ``contrast``: above ``threshold`` once it is stretched from lower..upper to 0..1.
+    """
+    if mode not in ("threshold", "contrast"):
+        raise ValueError(mode)
+    if isinstance(selection, int):
+        one = components.where(F.col("band") == selection)
+    else:
+        best = component_scores(components, selection).groupBy("scene").agg(F.max_by("band", F.struct(F.round("score", 12), -F.col("band"))).alias("band"))
+        one = components.join(best, ["scene", "band"])
+    one = one.select(*PIXEL, F.col("value").alias("v"))
+    if mode == "threshold":
+        return one.join(otsu(one, ["scene"]), "scene").where("v > threshold").select(*PIXEL)
+    return one.where(F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("v") - lower) / (upper - lower))) > threshold).select(*PIXEL)
+
+
+def pca_mask(components: DataFrame, intensity: DataFrame, size: DataFrame, shadow_quantile: float = 0.1, **how) -> DataFrame:
+    """component_mask, opened and closed by 3 x 3, holes filled, without the pixels darker than the quantile of their scene.
+
+    intensity: scene, y, x, v, the mean reading of every pixel; how: see component_mask.
+    """
+    three = spatial.square(3)
+    mask = spatial.closing(spatial.opening(component_mask(components, **how), three, size), three, size)
+    limit = quantile(intensity, ["scene"], "v", shadow_quantile)
+    dark = intensity.join(limit, "scene").where(F.col("v") < F.col("quantile")).select(*PIXEL)
+    return spatial.fill_holes(mask, size).join(dark, PIXEL, "left_anti")
 
 
 def whole_pixels(cells: DataFrame) -> DataFrame:

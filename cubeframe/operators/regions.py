@@ -56,6 +56,33 @@ def centred_rects(regions: DataFrame, height: Column, width: Column, size: DataF
     return r.withColumns({k: v.cast("int") for k, v in new.items()}).drop("height", "width")
 
 
+def rect_mask(mask: DataFrame, rect: tuple[int, int], size: DataFrame, min_ratio: float, n: int) -> DataFrame:
+    """scene, ordinal (from 1), y1, y2, x1, x2: rectangles (height, width) about the n largest regions of the closed mask.
+
+    The mask is closed by 3 x 3; regions count whose box is filled by more than min_ratio; ties in size go by the first pixel.
+    """
+    found = valid_regions(spatial.closing(mask, spatial.square(3), size), min_ratio, n, strict=True)
+    placed = centred_rects(found.select("scene", F.col("rank").alias("ordinal"), *RECT), F.lit(rect[0]), F.lit(rect[1]), size)
+    return placed.select("scene", "ordinal", *RECT)
+
+
+def rect_pixels(rects: DataFrame) -> DataFrame:
+    """scene, y, x of the pixels in any of the rectangles: the mask they make."""
+    y = F.explode(F.sequence(F.col("y1"), F.col("y2") - 1)).alias("y")
+    lines = rects.where("y1 < y2 AND x1 < x2").select("scene", "x1", "x2", y)
+    return lines.select("scene", "y", F.explode(F.sequence(F.col("x1"), F.col("x2") - 1)).alias("x")).distinct()
+
+
+def crops(cells: DataFrame, rects: DataFrame, key: str = "ordinal") -> DataFrame:
+    """scene, key, y, x, band, value: the readings of every rectangle, with places counted from its corner.
+
+    key: what names the rectangle, such as its ordinal or its species.
+    """
+    corner = rects.select("scene", *RECT, F.struct(F.col(key).alias("k"), F.col("y1").alias("y0"), F.col("x1").alias("x0")).alias("_r"))
+    inside = within(cells, corner, ["_r"])
+    return inside.select("scene", F.col("_r.k").alias(key), (F.col("y") - F.col("_r.y0")).alias("y"), (F.col("x") - F.col("_r.x0")).alias("x"), "band", "value")
+
+
 def mask_boxes(masks: DataFrame, key: str = "mask_id") -> DataFrame:
     """scene, key, box of every mask's true pixels. Empty masks have no row; the others keep their key."""
     return masks.groupBy("scene", key).agg(F.min("y").alias("y1"), (F.max("y") + 1).alias("y2"), F.min("x").alias("x1"), (F.max("x") + 1).alias("x2"))
@@ -78,14 +105,25 @@ def fixed_rects(mask: DataFrame, rect: tuple[int, int], size: DataFrame, min_fra
     hits = within(mask.select("scene", "y", "x"), rects, ["label"]).groupBy("scene", "label").agg(F.count("*").alias("hits"))
     kept = rects.join(hits, ["scene", "label"]).where(F.col("hits") >= min_frac * h * w)
     along, across, reach = ("left", "top", w // 4) if mode == "column" else ("top", "left", h // 4)
-    line = F.array_sort(F.collect_list(F.struct(F.col(along).alias("a"), "label", F.col(across).alias("c"))))
-    first = F.struct(F.lit(0).alias("g"), F.lit(None).cast("int").alias("anchor"), F.expr("cast(array() as array<struct<g:int,a:int,label:bigint,c:int>>)").alias("out"))
-
-    def step(s: Column, r: Column) -> Column:
-        new = s["anchor"].isNull() | (r["a"] - s["anchor"] > reach)
-        g = F.when(new, s["g"] + 1).otherwise(s["g"])
-        return F.struct(g.alias("g"), F.when(new, r["a"]).otherwise(s["anchor"]).alias("anchor"), F.concat(s["out"], F.array(F.struct(g.alias("g"), r["a"].alias("a"), r["label"].alias("label"), r["c"].alias("c")))).alias("out"))
-
-    grouped = kept.groupBy("scene").agg(line.alias("line")).select("scene", F.explode(F.aggregate("line", first, step)["out"]).alias("r"))
-    order = Window.partitionBy("scene").orderBy("r.g", "r.c", "r.label")
-    return grouped.select("scene", (F.col("r.g") - 1).alias("group"), F.row_number().over(order).alias("ordinal"), F.col(f"r.{'c' if along == 'left' else 'a'}").alias("top"), F.col(f"r.{'a' if along == 'left' else 'c'}").alias("left"))
+    return _in_lines(kept.select("scene", "label", "top", "left"), along, across, reach)
+
+
+def _in_lines(rects: DataFrame, along: str, across: str, reach: int) -> DataFrame:
+    """scene, group, ordinal, top, left. The groups are found over the distinct coordinates of a scene, at most as many as it
+    has lines or samples; the rectangles themselves are only joined and numbered."""
+    at = rects.groupBy("scene").agg(F.array_sort(F.collect_set(along)).alias("at"))
+
+    def step(s: Column, a: Column) -> Column:
+        new = s["anchor"].isNull() | (a - s["anchor"] > reach)
+        return F.struct(F.when(new, a).otherwise(s["anchor"]).alias("anchor"), F.when(new, F.array_append(s["firsts"], a)).otherwise(s["firsts"]).alias("firsts"))
+
+    first = F.struct(F.lit(None).cast("int").alias("anchor"), F.array().cast("array<int>").alias("firsts"))
+    anchors = at.select("scene", F.posexplode(F.aggregate("at", first, step)["firsts"]).alias("group", "anchor"))
+    spans = anchors.select("scene", "group", "anchor", F.explode(F.sequence(F.col("anchor"), F.col("anchor") + reach)).alias(along))
+    grouped = rects.join(spans, ["scene", along])
+    grouped = grouped.groupBy("scene", "label", "top", "left").agg(F.min("group").alias("group"))  # a coordinate in reach of two anchors is in the first group
+    within_ = Window.partitionBy("scene", "group").orderBy(across, "label")
+    sizes = grouped.groupBy("scene", "group").agg(F.count("*").alias("n"))
+    before = sizes.withColumn("before", F.sum("n").over(Window.partitionBy("scene").orderBy("group")) - F.col("n")).drop("n")
+    numbered = grouped.withColumn("in_group", F.row_number().over(within_)).join(before, ["scene", "group"])
+    return numbered.select("scene", "group", (F.col("before") + F.col("in_group")).cast("int").alias("ordinal"), "top", "left")

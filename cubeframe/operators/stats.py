@@ -39,10 +39,10 @@ def class_variance_ratio(cells: DataFrame, label: str = "label") -> DataFrame:
 
 
 def min_max(cells: DataFrame) -> DataFrame:
-    """(v - min) / (max - min + 1e-8) per scene and band."""
-    w = Window.partitionBy("scene", "band")
-    low, high = F.min("value").over(w), F.max("value").over(w)
-    return cells.withColumn("value", (F.col("value") - low) / (high - low + 1e-8))
+    """(v - min) / (max - min + 1e-8) per scene and band, by a join with the aggregated limits: no scene is sorted as a whole."""
+    limits = cells.groupBy("scene", "band").agg(F.min("value").alias("_low"), F.max("value").alias("_high"))
+    scaled = (F.col("value") - F.col("_low")) / (F.col("_high") - F.col("_low") + 1e-8)
+    return cells.join(limits, ["scene", "band"]).withColumn("value", scaled).select(*cells.columns)
 
 
 def mean_std(cells: DataFrame) -> DataFrame:
@@ -77,6 +77,32 @@ def otsu(values: DataFrame, keys: list[str], value: str = "v", bins: int = BINS)
     return best.select(*keys, centre.alias("threshold"), (F.col("m.between") * step * step).alias("separation"))
 
 
+#: Bins by which a group is narrowed down to the values about a quantile.
+_NARROW = 1024
+
+
+def quantile(values: DataFrame, keys: list[str], value: str, q: float) -> DataFrame:
+    """keys, quantile: linear between the two observed values about rank q * (n - 1), exactly.
+
+    Counts per bin say in which bins of a group the two ranks lie; only the distinct values of these are put in order, so
+    that no task sorts or holds a whole group.
+    """
+    v = values.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
+    limits = v.groupBy(*keys).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+    place = F.coalesce(F.floor(F.try_divide(F.col("_v") - F.col("_low"), F.col("_high") - F.col("_low")) * _NARROW), F.lit(0))
+    counted = v.groupBy(*keys, "_v").agg(F.count("*").alias("_n")).join(limits, keys).select(*keys, "_v", "_n", place.alias("_bin"))
+    bins = counted.groupBy(*keys, "_bin").agg(F.sum("_n").alias("_in"))
+    of = Window.partitionBy(*keys)
+    bins = bins.withColumns({"_before": F.sum("_in").over(of.orderBy("_bin")) - F.col("_in"), "_rank": F.lit(q) * (F.sum("_in").over(of) - 1)})
+    low, high = F.floor("_rank"), F.ceil("_rank")
+    holds = lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_in"))
+    few = counted.join(bins.where(holds(low) | holds(high)), [*keys, "_bin"])
+    few = few.withColumn("_upto", F.col("_before") + F.sum("_n").over(Window.partitionBy(*keys, "_bin").orderBy("_v")))
+    at = lambda r: F.min(F.when((F.col("_upto") > r) & (F.col("_upto") - F.col("_n") <= r), F.col("_v")))
+    two = few.groupBy(*keys).agg(at(low).alias("_a"), at(high).alias("_b"), (F.first("_rank") - F.floor(F.first("_rank"))).alias("_f"))
+    return two.select(*keys, (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f")).alias("quantile"))
+
+
 def entropy(values: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Base-2 entropy of the distinct values."""
     n = values.groupBy(*keys, value).agg(F.count("*").alias("n"))

@@ -162,6 +162,17 @@ def cl6_defect_image(spark, sf_dir):
     return cleaning.defect_image(cl1_bad_cells(spark, sf_dir))
 
 
+@query(_D + ", " + _BAD + " SELECT scene, y, x, value, bad AS defect FROM bad WHERE band = 2")
+def cl6_defect_overlay(spark, sf_dir):
+    return cleaning.defect_overlay(cells(spark, sf_dir), cl1_bad_cells(spark, sf_dir), 2)
+
+
+@query(_D + ", " + _LINES.replace("SELECT scene, band, x FROM ra JOIN", "df AS (SELECT scene, band, x FROM ra JOIN").replace("GROUP BY ALL)\ndf", "GROUP BY ALL), df")
+       + "), rk AS (SELECT *, row_number() OVER (PARTITION BY scene ORDER BY x, band) AS rank FROM df) SELECT scene, rank, x, band FROM rk WHERE rank <= 40")
+def cl6_first_defects(spark, sf_dir):
+    return cleaning.first_defects(cl2_line_defects(spark, sf_dir))
+
+
 # cleaning of all readings: those below 0, above the limit or infinite are the worst defects. cl1 to cl6 keep to the valid ones.
 
 _ALL = """WITH d AS (SELECT scene, y, x, band, max(value) AS value FROM cube_cells WHERE value IS NOT NULL AND NOT isnan(value) AND scene IS NOT NULL
@@ -267,6 +278,30 @@ def bm3_spectral_angle(spark, sf_dir):
     return masks.tidy(masks.spectral_angle(_angles(spark, sf_dir)), frame.extent(cells(spark, sf_dir)), min_size=4, radius=1)
 
 
+def _shadowless(spark, sf_dir):
+    """Pixels less like the mean spectrum of their scene than Otsu's threshold, without shadows."""
+    whole = masks.whole_pixels(cells(spark, sf_dir))
+    return masks.spectral_angle(_angles(spark, sf_dir)).join(masks.bright(masks.norms(whole)), masks.PIXEL, "left_semi")
+
+
+@query()
+def bm3_foreground(spark, sf_dir):
+    """The background mask of the spectral angle before it is cleaned, without shadows."""
+    return _shadowless(spark, sf_dir)
+
+
+@query(_D + ", " + _WHOLE + """, t AS (SELECT scene, y, x, sqrt(sum(value * value)) AS v FROM wd GROUP BY ALL), q AS (SELECT scene, quantile_cont(v, 0.1) AS q FROM t GROUP BY scene)
+SELECT scene, y, x FROM t JOIN q USING (scene) WHERE v > q + 1e-12 AND v > 1e-6""")
+def bm3_bright(spark, sf_dir):
+    """The pixels that are no shadows: brighter than the tenth percentile of their scene."""
+    return masks.bright(masks.norms(masks.whole_pixels(cells(spark, sf_dir))))
+
+
+@query()
+def bm3_spectral_angle_smooth(spark, sf_dir):
+    return masks.tidy(_shadowless(spark, sf_dir), frame.extent(cells(spark, sf_dir)), min_size=4, radius=1, smooth_sigma=1.0)
+
+
 def _dense(spark, sf_dir, band):
     """A band of every scene; absent pixels take the mean."""
     c = cells(spark, sf_dir)
@@ -327,6 +362,22 @@ def bm6_component_mask(spark, sf_dir):
     return masks.component_mask(scenewise.pca(_blocks(spark, sf_dir), 3))
 
 
+def _brightness(spark, sf_dir):
+    return cells(spark, sf_dir).groupBy("scene", "y", "x").agg(F.avg("value").alias("v"))
+
+
+@query()
+def bm6_pca_mask(spark, sf_dir):
+    return masks.pca_mask(scenewise.pca(_blocks(spark, sf_dir), 3), _brightness(spark, sf_dir), frame.extent(cells(spark, sf_dir)))
+
+
+@query()
+def bm6_pca_mask_contrast(spark, sf_dir):
+    """The first component, stretched between fixed limits instead of cut by Otsu's threshold."""
+    how = {"selection": 0, "mode": "contrast", "threshold": 0.5, "lower": -0.02, "upper": 0.02}
+    return masks.pca_mask(scenewise.pca(_blocks(spark, sf_dir), 3), _brightness(spark, sf_dir), frame.extent(cells(spark, sf_dir)), **how)
+
+
 def _simple_mask(spark, sf_dir):
     """Pixels whose mean reading is above the scene's Otsu threshold."""
     p = cells(spark, sf_dir).groupBy("scene", "y", "x").agg(F.avg("value").alias("v"))
@@ -373,6 +424,34 @@ def mu7_mask_boxes(spark, sf_dir):
     return regions.mask_boxes(regions.within(cells(spark, sf_dir).where("value > 0.5"), boxes, ["mask_id"]))
 
 
+@query()
+def mu5_rect_mask(spark, sf_dir):
+    """Rectangles of 4 x 3 about the three largest regions of every scene, and their readings."""
+    c = cells(spark, sf_dir)
+    rects = regions.rect_mask(_simple_mask(spark, sf_dir), (4, 3), frame.extent(c), 0.5, 3)
+    n = regions.crops(c, rects).groupBy("scene", "ordinal").agg(F.count("*").alias("n"))
+    return rects.join(n, ["scene", "ordinal"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+@query(_D + """, q AS (SELECT DISTINCT region_id, scene, greatest(0, (y1 + y2) // 2 - 2) AS y1, least(height, (y1 + y2) // 2 + 2) AS y2, greatest(0, (x1 + x2) // 2 - 1) AS x1, least(width, (x1 + x2) // 2 + 1) AS x2
+FROM regions JOIN size USING (scene) WHERE y1 IS NOT NULL AND y2 IS NOT NULL AND x1 IS NOT NULL AND x2 IS NOT NULL),
+l AS (SELECT scene, x1, x2, unnest(range(y1, y2)) AS y FROM q) SELECT DISTINCT scene, CAST(y AS INTEGER) AS y, CAST(unnest(range(x1, x2)) AS INTEGER) AS x FROM l""")
+def mu4_mask_pixels(spark, sf_dir):
+    return regions.rect_pixels(mu4_centred_rects(spark, sf_dir))
+
+
+@query(_D + ", " + _SAMPLES + " SELECT DISTINCT d.scene, ordinal, CAST(y - y1 AS INTEGER) AS y, CAST(x - x1 AS INTEGER) AS x, band, value FROM d JOIN q ON d.scene = q.scene AND y >= y1 AND y < y2 AND x >= x1 AND x < x2")
+def mu6_crops(spark, sf_dir):
+    return regions.crops(cells(spark, sf_dir), samples(spark, sf_dir)).distinct()
+
+
+@query(_D + ", " + _SAMPLES + """ SELECT label, y - y1 AS y, x - x1 AS x, band, count(*) AS n, min(value) AS low, max(value) AS high FROM d JOIN q ON d.scene = q.scene AND y >= y1 AND y < y2 AND x >= x1 AND x < x2
+GROUP BY ALL""")
+def mu7_species_crops(spark, sf_dir):
+    by_label = regions.crops(cells(spark, sf_dir), samples(spark, sf_dir), "label").groupBy("label", "y", "x", "band")
+    return by_label.agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+
+
 # extraction
 
 _POINTS = """pt AS (SELECT DISTINCT scene, region_id AS coord_id, (y1 + y2) // 2 AS py, (x1 + x2) // 2 AS px FROM regions WHERE y1 IS NOT NULL AND y2 IS NOT NULL AND x1 IS NOT NULL AND x2 IS NOT NULL)"""
@@ -620,7 +699,7 @@ def vz3_histogram(spark, sf_dir):
 
 @query(_D + """, nb AS (SELECT scene, max(band) + 1 AS nb FROM d GROUP BY scene), pk AS (SELECT scene, k AS slice, CAST(k * (nb - 1) // 9 AS INTEGER) AS band FROM nb, (SELECT CAST(unnest(range(10)) AS INTEGER) AS k)),
 t AS (SELECT d.scene, slice, d.band, y, x, value FROM d JOIN pk ON pk.scene = d.scene AND pk.band = d.band WHERE y % 3 = 0 AND x % 3 = 0)
-SELECT scene, slice, band, slice * 10 AS z, y, x, round(coalesce((value - min(value) OVER w) / nullif(max(value) OVER w - min(value) OVER w, 0), 0), 9) + 0.0 AS v FROM t WINDOW w AS (PARTITION BY scene, slice)""")
+SELECT scene, slice, band, (9 - slice) * 10 AS z, y, x, round(coalesce((value - min(value) OVER w) / nullif(max(value) OVER w - min(value) OVER w, 0), 0), 9) + 0.0 AS v FROM t WINDOW w AS (PARTITION BY scene, slice)""")
 def vz4_slices(spark, sf_dir):
     return plotdata.slices(cells(spark, sf_dir)).withColumn("v", r("v"))
 
@@ -631,3 +710,27 @@ SELECT scene, 'top' AS face, y AS a, x AS b, v FROM t WHERE band = nb AND y % 2
 UNION ALL SELECT scene, 'back', x, band, v FROM t WHERE y = 0 AND x % 2 = 0 UNION ALL SELECT scene, 'left', y, band, v FROM t WHERE x = 0 AND y % 2 = 0 UNION ALL SELECT scene, 'right', y, band, v FROM t WHERE x = w AND y % 2 = 0""")
 def vz6_faces(spark, sf_dir):
     return plotdata.faces(cells(spark, sf_dir)).withColumn("v", r("v"))
+
+
+@query(_D + """, g AS (SELECT * FROM d WHERE y % 3 = 0 AND x % 3 = 0), l AS (SELECT scene, min(value) AS low, max(value) AS high FROM g GROUP BY scene), nb AS (SELECT scene, max(band) + 1 AS nb FROM d GROUP BY scene),
+pk AS (SELECT DISTINCT scene, nb, CASE WHEN nb <= 5 THEN k ELSE k * (nb - 1) // 4 END AS band FROM nb, (SELECT CAST(unnest(range(5)) AS INTEGER) AS k) WHERE nb > 5 OR k < nb)
+SELECT g.scene, g.band, nb - 1 - g.band AS z, y, x, value AS v, low, high FROM g JOIN pk ON pk.scene = g.scene AND pk.band = g.band JOIN l ON l.scene = g.scene""")
+def vz5_stack(spark, sf_dir):
+    return plotdata.stack(cells(spark, sf_dir), n=5)
+
+
+_FACES = """z AS (SELECT scene, max(y) AS h, max(x) AS w, max(band) AS nb, min(value) AS g0, max(value) AS g1 FROM d GROUP BY scene), u AS (SELECT d.*, h, w, nb, g0, g1 FROM d JOIN z USING (scene)),
+t AS (SELECT scene, 'front' AS face, x AS a, band AS b, value, g0, g1 FROM u WHERE y = h UNION ALL SELECT scene, 'back', x, band, value, g0, g1 FROM u WHERE y = 0
+UNION ALL SELECT scene, 'left', y, band, value, g0, g1 FROM u WHERE x = 0 UNION ALL SELECT scene, 'right', y, band, value, g0, g1 FROM u WHERE x = w"""
+
+
+@query(_D + ", " + _FACES + """ UNION ALL SELECT scene, 'top', y, x, avg(value), NULL, NULL FROM d GROUP BY scene, y, x), l AS (SELECT scene, face, min(value) AS f0, max(value) AS f1 FROM t GROUP BY scene, face)
+SELECT scene, face, a, b, round(coalesce((value - f0) / nullif(f1 - f0, 0), 0), 9) + 0.0 AS v FROM t JOIN l USING (scene, face) WHERE a % 2 = 0 AND (face <> 'top' OR b % 2 = 0)""")
+def vz6_faces_mean_surface(spark, sf_dir):
+    return plotdata.faces(cells(spark, sf_dir), scaling="surface", top="mean").withColumn("v", r("v"))
+
+
+@query(_D + ", " + _FACES + """ UNION ALL SELECT scene, CASE band WHEN 0 THEN 'top_r' WHEN 3 THEN 'top_g' ELSE 'top_b' END, y, x, value, g0, g1 FROM u WHERE band IN (0, 3, 6))
+SELECT scene, face, a, b, round(coalesce((value - g0) / nullif(g1 - g0, 0), 0), 9) + 0.0 AS v FROM t WHERE a % 2 = 0 AND (face NOT LIKE 'top%' OR b % 2 = 0)""")
+def vz6_faces_rgb_global(spark, sf_dir):
+    return plotdata.faces(cells(spark, sf_dir), scaling="global", top="rgb", rgb=(0, 3, 6)).withColumn("v", r("v"))
