@@ -7,51 +7,63 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Rows of an array column, all of one length and without nulls."""
+    offsets = column.offsets.to_numpy()
+    width = np.unique(np.diff(offsets))
+    if column.null_count or len(width) != 1:
+        raise ValueError("the arrays of a matrix are all of one length, none is null")
+    return column.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]].astype(float).reshape(-1, width[0])
+
+
 def gram(rows: DataFrame, arrays: list[str], keys: list[str] | None = None) -> dict[tuple, tuple[float, np.ndarray]]:
-    """{key: (n, Z'Z)} with Z = [1, arrays side by side], over rows of equal array lengths.
+    """{key: (n, Z'Z)} with Z = [1, arrays side by side], over rows of equal array lengths; others raise ValueError.
 
-    Every task adds up its rows into one matrix per key; the matrices are added by Spark, position by position. Keys must
-    be few (folds, classes, subsets): they and the bands bound what reaches the driver.
+    Every task adds up its rows into one packed matrix per key, the tasks' matrices of a key are added up in two steps, and one
+    row per key reaches the driver. Keys must be few (folds, classes, subsets): they and the bands bound what that is.
     """
     keys = keys or []
+    names = [f"k{n}" for n in range(len(keys))]
+    schema = "".join(f"{n} string, " for n in names) + "part int, size int, m binary"
+
+    def rows_of(sums: dict[tuple, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for k, m in sums.items():
+            part = TaskContext.get().partitionId() % 16  # of a key's matrices, those of one part are added first
+            yield pa.RecordBatch.from_arrays([*(pa.array([v], pa.string()) for v in k), pa.array([part], pa.int32()), pa.array([len(m)], pa.int32()), pa.array([m.tobytes()])], names=[*names, "part", "size", "m"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple, np.ndarray] = {}
         for batch in batches:
             if not batch.num_rows:
                 continue
-            parts = [np.ones((batch.num_rows, 1))]
-            for c in arrays:
-                parts.append(batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1))
-            z = np.hstack(parts)
-            key = list(zip(*(batch.column(k).to_pylist() for k in keys))) if keys else [()] * batch.num_rows
-            for k in set(key):
-                part = z[[x == k for x in key]] if keys else z
-                sums[k] = sums.get(k, 0) + part.T @ part
-        for k, m in sums.items():
-            i, j = np.triu_indices(len(m))
-            yield pa.RecordBatch.from_arrays(
-                [*(pa.array([str(v)] * len(i)) for v in k), pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(m[i, j])], names=[*(f"k{n}" for n in range(len(k))), "i", "j", "v"]
-            )
-
-    names = [f"k{n}" for n in range(len(keys))]
-    schema = "".join(f"{n} string, " for n in names) + "i int, j int, v double"
-    total = rows.select(*keys, *arrays).mapInArrow(add, schema).groupBy(*names, "i", "j").agg(F.sum("v").alias("v")).collect()
-    out: dict[tuple, tuple[float, np.ndarray]] = {}
-    by_key: dict[tuple, list] = {}
-    for r in total:
-        by_key.setdefault(tuple(r[n] for n in names), []).append((r["i"], r["j"], r["v"]))
-    for k, cells in by_key.items():
-        size = max(j for _, j, _ in cells) + 1
-        m = np.zeros((size, size))
-        for i, j, v in cells:
-            m[i, j] = m[j, i] = v
-        out[k] = (m[0, 0], m)
-    return out
+            z = np.hstack([np.ones((batch.num_rows, 1)), *(_matrix(batch.column(c)) for c in arrays)])
+            code, of = np.zeros(batch.num_rows, np.int64), [()]
+            for k in keys:
+                d = batch.column(k).cast(pa.string()).dictionary_encode(null_encoding="encode")
+                code = code * len(d.dictionary) + d.indices.to_numpy()
+                of = [(*x, v) for x in of for v in d.dictionary.to_pylist()]
+            for c in np.unique(code):
+                x = z[code == c]
+                sums[of[c]] = sums.get(of[c], 0) + x.T @ x
+        yield from rows_of(sums)
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            for row in batch.to_pylist():
+                k = tuple(row[n] for n in names)
+                sums[k] = sums.get(k, 0) + np.frombuffer(row["m"]).reshape(row["size"], -1)
+        yield from rows_of(sums)
+
+    parts = rows.select(*keys, *arrays).mapInArrow(add, schema).repartition(*names, "part").mapInArrow(together, schema)
+    total = parts.repartition(*names).mapInArrow(together, schema) if names else parts.coalesce(1).mapInArrow(together, schema)
+    matrices = {tuple(r[n] for n in names): np.frombuffer(r["m"]).reshape(r["size"], -1).copy() for r in total.collect()}
+    return {k: (m[0, 0], m) for k, m in matrices.items()}
 
 
 def centred(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

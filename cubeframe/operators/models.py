@@ -82,6 +82,10 @@ class MNF:
         return pixel.withColumn(out, linear(F.col(column), self.components_, self.mean_))
 
 
+#: Groups of samples, by a hash, of which every round of CARS draws a share.
+BUCKETS = 100
+
+
 def _pls_fit(m: np.ndarray, bands: np.ndarray, components: int) -> tuple[np.ndarray, float]:
     """(coefficients, intercept) of PLS on columns scaled to unit deviation, from [1, X, y]'[1, X, y]."""
     pick = np.r_[0, 1 + bands, len(m) - 1]
@@ -121,15 +125,16 @@ def _cv(grams: list[np.ndarray], bands: np.ndarray, components: int) -> float:
 def cars(df: DataFrame, target: str, column: str = "spectrum", sample_id: str = "sample_id", n_components: int = 10, n_mc: int = 50, sample_ratio: float = 0.9, cv_splits: int = 5, seed: int = 42) -> tuple[list[int], float, list[tuple[int, int, float]]]:
     """Competitive adaptive reweighted sampling: (bands of the best round, its RMSECV, all rounds as (round, bands, RMSECV)).
 
-    Every round fits PLS on a random share of the samples, keeps the bands of largest coefficients, fewer each round, and
+    Every round fits PLS on a random share of BUCKETS groups of samples, keeps the bands of largest coefficients, fewer each round, and
     is judged by cross-validation on all. All folds' and all rounds' sums come from one pass over the data each; the
     rounds themselves are algebra on band by band matrices.
     """
     rows = df.withColumn("_y", F.array(F.col(target).cast("double")))
     folds = [m for _, m in linalg.gram(_folds(rows, sample_id, cv_splits, seed), [column, "_y"], ["_fold"]).values()]
-    rounds = F.explode(F.sequence(F.lit(0), F.lit(n_mc - 1))).alias("_round")
-    drawn = rows.select(sample_id, column, "_y", rounds).where(F.pmod(F.xxhash64(sample_id, "_round", F.lit(seed)), F.lit(10**6)) < int(sample_ratio * 10**6))
-    subset = {int(k[0]): m for k, (_, m) in linalg.gram(drawn, [column, "_y"], ["_round"]).items()}
+    # a round takes buckets of samples, so that its sums are those of its buckets: no sample is copied
+    buckets = linalg.gram(rows.withColumn("_bucket", F.pmod(F.xxhash64(sample_id, F.lit(seed + 1)), F.lit(BUCKETS))), [column, "_y"], ["_bucket"])
+    drawn = np.random.default_rng(seed).random((n_mc, BUCKETS)) < sample_ratio
+    subset = [sum(m for (b,), (_, m) in buckets.items() if drawn[i, int(b)]) for i in range(n_mc)]
     bands = np.arange(len(folds[0]) - 2)
     decay = np.log(max(len(bands) / (n_components + 1), 1)) / max(n_mc, 1)
     history, best = [], None

@@ -628,13 +628,13 @@ def fs5_anova_f(spark, sf_dir):
 
 @query()
 def fs6_rmse_cv(spark, sf_dir):
-    e = models.rmse_cv(embedded(spark, sf_dir), "label", n_components=5)
+    e = models.rmse_cv(embedded(spark, sf_dir), "label")
     return embedded(spark, sf_dir).agg(F.count("*").alias("n")).withColumn("rmse", F.lit(round(e, 8)))
 
 
 @query()
 def fs7_cars(spark, sf_dir):
-    bands, error, _ = models.cars(embedded(spark, sf_dir), "label", n_components=5, n_mc=20)
+    bands, error, _ = models.cars(embedded(spark, sf_dir), "label")
     x = embedded(spark, sf_dir).select(F.posexplode("spectrum").alias("band", "v")).where(F.col("band").isin(bands))
     return x.groupBy("band").agg(F.count("*").alias("n")).withColumn("rmse", F.lit(round(error, 8)))
 

@@ -158,3 +158,17 @@ def test_binner(spark):
     assert binning.bin_centres([1, 3, 7]) == [2, 5]
     with pytest.raises(ValueError):
         binning.AdaptiveSpectralBinner(4, "std").fit(long.withColumn("value", F.lit(1.0)), at)
+
+
+def test_gram_refuses_ragged_arrays(spark):
+    import pytest
+
+    from cubeframe.functions import linalg
+
+    df = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0]), (3, [1.0, 2.0, 3.0])], "k int, v array<double>")
+    for rows in (df, df.where("k = 1").union(spark.createDataFrame([(9, None)], df.schema)).coalesce(1)):
+        with pytest.raises(Exception, match="one length"):
+            linalg.gram(rows.coalesce(1), ["v"])
+    good = linalg.gram(df.where("k = 1").union(df.where("k = 1")).repartition(3), ["v"], ["k"])
+    assert good[("1",)][0] == 2 and good[("1",)][1].tolist() == [[2, 2, 4], [2, 2, 4], [4, 4, 8]]
+    assert linalg.gram(df.where("false"), ["v"]) == {}
