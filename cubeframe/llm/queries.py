@@ -24,15 +24,13 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every scene with its group and split; readings, entries and scenes count, the entries per species."""
+    """Every scene with its group and split; the scenes are balanced over all, their entries per species."""
     mapping = table(spark, sf_dir, "mapping")
     groups = checkpointed(splits.scene_groups(table(spark, sf_dir, "scenes"), mapping))
     entries = canonical.with_entry(mapping.select("scene", "species"), "species", table(spark, sf_dir, "species_list")).groupBy("scene", "species_id").agg(F.count("*").alias("n"))
-    read = table(spark, sf_dir, "cube_cells").groupBy("scene").agg(F.count("*").alias("n"))
     strata = (
-        groups.select("component", F.lit("scenes").alias("stratum"), F.lit(1).cast("bigint").alias("weight"))
-        .union(groups.join(entries, F.col("record") == F.col("scene")).where("species_id IS NOT NULL").select("component", F.concat(F.lit("species "), "species_id"), "n"))
-        .union(groups.join(read, F.col("record") == F.col("scene")).select("component", F.lit("readings"), "n"))
+        groups.select("component", F.lit("scenes").alias("kind"), F.lit("all").alias("stratum"), F.lit(1).cast("bigint").alias("weight"))
+        .union(groups.join(entries, F.col("record") == F.col("scene")).where("species_id IS NOT NULL").select("component", F.lit("species"), F.col("species_id").cast("string"), "n"))
     )
     return splits.split_groups(groups, strata).select(F.col("record").alias("scene"), F.col("component").alias("group_scene"), "split")
 

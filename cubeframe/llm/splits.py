@@ -7,8 +7,8 @@ distance. Each round is checkpointed.
 
 Assignment: every component draws, for each split, a number from a hash of its name and a fixed seed; the split with the
 smallest -ln(u) / weight takes it. The weights are the shares, times factors that balance the strata: each round adds up
-what every stratum has in every split and raises the factors of what it lacks; a component uses the mean of its strata's
-factors. The draws never change, so that a round moves only components near the margin. ``rounds=0`` is the plain hash:
+what every stratum has in every split and raises the factors of what it lacks; a component uses, of each kind of strata
+(all records, species), the mean of its strata's factors. The draws never change, so that a round moves only components near the margin. ``rounds=0`` is the plain hash:
 no component ever moves, and the shares deviate by chance. With ``previous``, a table of records and their splits, every
 component that holds one of them keeps its split (that of its smallest such record), and the factors place the others
 only: with it no record moves when others come, and what comes makes up for what is out of balance.
@@ -29,8 +29,9 @@ from cubeframe.session import broadcast_if_small, checkpointed
 
 SHARES = {"train": 0.8, "validation": 0.1, "test": 0.1}
 SEED = 0
-#: Rounds in which the factors are fitted, and how far each goes (1: by the whole ratio of what is wanted to what is there).
-ROUNDS, PACE = 8, 0.7
+#: Rounds in which the factors are fitted, and how far the first goes (1: by the whole ratio of what is wanted to what is
+#: there); the others go less and less far, by the root of their number, since all strata move at once.
+ROUNDS, PACE = 10, 0.4
 
 
 def code_key(code: Column) -> Column:
@@ -87,39 +88,43 @@ def rendezvous(key: Column, seed: int, shares: dict[str, float | Column]) -> Col
 
 
 def split_groups(groups: DataFrame, strata: DataFrame, shares: dict[str, float] = SHARES, seed: int = SEED, rounds: int = ROUNDS, previous: DataFrame | None = None) -> DataFrame:
-    """groups (record, component) with split; strata: component, stratum, weight to be spread as the shares say.
+    """groups (record, component) with split; strata: component, stratum, weight to be spread as the shares say, and kind if there are several.
 
-    Each stratum counts by the root of its weight, the size at which chance deviations stand. previous: record, split.
-    Of all rounds the one is taken whose strata come nearest to the shares.
+    The kinds count alike, within a kind deviations are measured by the roots of the weights, the size at which chance
+    deviations stand. Of all rounds the one is taken whose strata come nearest to the shares. previous: record, split.
     """
     shares = {n: v for n, v in shares.items() if v > 0}
-    weights = strata.where("component IS NOT NULL AND stratum IS NOT NULL").groupBy("component", "stratum").agg(F.sum("weight").alias("weight")).where("weight > 0")
-    weights = weights.join(weights.groupBy("stratum").agg(F.sum("weight").alias("whole")), "stratum").withColumn("counts", F.col("weight") / F.sqrt("whole"))
-    weights = checkpointed(weights)
+    if "kind" not in strata.columns:
+        strata = strata.withColumn("kind", F.lit(""))
+    weights = strata.where("component IS NOT NULL AND stratum IS NOT NULL").groupBy("component", F.coalesce("kind", F.lit("")).alias("kind"), "stratum")
+    weights = checkpointed(weights.agg(F.sum("weight").alias("weight")).where("weight > 0"))
+    weights = weights.join(weights.groupBy("kind", "stratum").agg(F.sum("weight").alias("whole")), ["kind", "stratum"])
+    weights = checkpointed(weights.join(weights.groupBy("component", "kind").agg(F.sum("weight").alias("_of")), ["component", "kind"]).withColumn("counts", F.col("weight") / F.col("_of")).drop("_of"))
     held = groups.select("component").where("false").withColumn("held", F.lit(None).cast("string"))
     if previous is not None:
         known = previous.where(F.col("split").isin(*shares)).select(F.col("record").alias("_r"), F.col("split").alias("_s"))
         held = checkpointed(groups.join(known, F.col("record") == F.col("_r")).groupBy("component").agg(F.min_by("_s", "record").alias("held")))
-    factors = checkpointed(weights.select("stratum").distinct().select("stratum", *(F.lit(0.0).alias(n) for n in shares)))
+    factors = checkpointed(weights.select("kind", "stratum").distinct().select("kind", "stratum", *(F.lit(0.0).alias(n) for n in shares)))
     n_strata = factors.count()
 
     def assigned(factors: DataFrame) -> DataFrame:
         """component, split of the components in a stratum."""
-        mean = weights.join(broadcast_if_small(factors, n_strata, 100), "stratum").groupBy("component")
-        mean = mean.agg(*((F.sum(F.col("counts") * F.col(n)) / F.sum("counts")).alias(n) for n in shares)).join(held, "component", "left")
+        mean = weights.join(broadcast_if_small(factors, n_strata, 100), ["kind", "stratum"]).groupBy("component")
+        mean = mean.agg(*(F.sum(F.col("counts") * F.col(n)).alias(n) for n in shares)).join(held, "component", "left")
         weighted = {n: F.lit(v) * F.exp(F.col(n)) for n, v in shares.items()}
         return mean.select("component", F.coalesce("held", rendezvous(F.col("component"), seed, weighted)).alias("split"))
 
     best, best_off = factors, None
     for k in range(rounds + 1 if n_strata else 0):
-        there = weights.join(assigned(factors), "component").groupBy("stratum").agg(F.first("whole").alias("whole"), *(F.sum(F.when(F.col("split") == n, F.col("weight")).otherwise(0)).alias(n) for n in shares))
+        there = weights.join(assigned(factors), "component").groupBy("kind", "stratum").agg(F.first("whole").alias("whole"), *(F.sum(F.when(F.col("split") == n, F.col("weight")).otherwise(0)).alias(n) for n in shares))
         there = checkpointed(there)
-        off = there.agg(F.sum(reduce(lambda p, q: p + q, (F.abs(F.col(n) - F.col("whole") * v) for n, v in shares.items())) / F.sqrt("whole"))).first()[0]
+        away = reduce(lambda p, q: p + q, (F.abs(F.col(n) - F.col("whole") * v) for n, v in shares.items()))
+        off = there.groupBy("kind").agg((F.sum(away) / F.sum(F.sqrt("whole"))).alias("off")).agg(F.sum("off")).first()[0]
         if best_off is None or off < best_off:
             best, best_off = factors, off
         if k < rounds:
-            lacks = {n: F.lit(PACE) * F.log((F.col("whole") * v + F.sqrt("whole")) / (F.col(n) + F.sqrt("whole"))) for n, v in shares.items()}
-            factors = checkpointed(factors.join(there.select("stratum", *(x.alias(f"_{n}") for n, x in lacks.items())), "stratum").select("stratum", *((F.col(n) + F.col(f"_{n}")).alias(n) for n in shares)))
+            lacks = {n: F.lit(PACE / (k + 1) ** 0.5) * F.log((F.col("whole") * v + F.sqrt("whole")) / (F.col(n) + F.sqrt("whole"))) for n, v in shares.items()}
+            factors = checkpointed(factors.join(there.select("kind", "stratum", *(x.alias(f"_{n}") for n, x in lacks.items())), ["kind", "stratum"]).select("kind", "stratum", *((F.col(n) + F.col(f"_{n}")).alias(n) for n in shares)))
     out = groups.join(assigned(best).withColumnRenamed("split", "_split"), "component", "left").join(held, "component", "left")
     return out.select(*groups.columns, F.coalesce("held", "_split", rendezvous(F.col("component"), seed, shares)).alias("split"))
 
