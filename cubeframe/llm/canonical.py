@@ -134,38 +134,47 @@ def match_values(values: DataFrame, column: str, entries: DataFrame, threshold:
     # spread by number: a small table may be long work, so it must not be put together into one partition
     distinct = values.select(F.col(column).alias("value")).where(F.regexp("value", F.lit(r"[^\s\u200b\u00a0\ufeff]"))).distinct().repartition(n)
     of_value = checkpointed(distinct.withColumn("phrase", F.explode_outer(windows("value"))).withColumn("ph", F.xxhash64("phrase")))
-    phrase = checkpointed(of_value.where("phrase IS NOT NULL").select("ph", "phrase").distinct()).repartition(n, "ph")
+    phrase = of_value.where("phrase IS NOT NULL").select("ph", "phrase").distinct()
+    phrase = checkpointed(phrase.withColumn("grams", _gram_ids("phrase")))
 
-    # the n-grams of a phrase, with their weights; one that no form has weighs most and matches nothing
-    least = index.select("length", "form2").distinct().select(F.explode(F.sequence(*_lengths(F.col("length")))).alias("length"), "form2").groupBy("length").agg(F.min("form2").alias("least2"))
+    # the n-grams of a phrase from the lightest to the heaviest; one that no form has weighs most and matches nothing
+    least = index.select("length", "form2").distinct().select(F.explode(F.sequence(*_lengths(F.col("length")))).alias("letters"), "form2").groupBy("letters").agg(F.min("form2").alias("least2"))
     weight = index.groupBy("gram").agg(F.first("w2").alias("w2"))
     top = F.lit(math.log(forms_.count() + 1.0) ** 2)
-    gram = phrase.select("ph", F.length("phrase").alias("letters"), F.explode(_gram_ids("phrase")).alias("gram"))
-    gram = gram.join(F.broadcast(least), gram["letters"] == least["length"]).drop("length")  # one row per length; a length that no form comes near ends here
-    gram = gram.join(broadcast_if_small(weight, size, 40), "gram", "left").withColumn("known", F.col("w2").isNotNull())
-    of_phrase = Window.partitionBy("ph")
-    upto = F.sum(F.when(F.col("known"), F.col("w2")).otherwise(0.0)).over(of_phrase.orderBy(F.coalesce("w2", top), "gram"))
-    gram = gram.withColumns({"phrase2": F.sum(F.coalesce("w2", top)).over(of_phrase), "upto2": upto})
+    spread = phrase.repartition(n, "ph").withColumn("letters", F.length("phrase"))
+    spread = spread.join(F.broadcast(least), "letters")  # one row per length; a length that no form comes near ends here
+    gram = spread.select("ph", "letters", "least2", F.explode("grams").alias("gram")).join(broadcast_if_small(weight, size, 40), "gram", "left")
+    one = F.struct(F.coalesce("w2", top).alias("w2"), "gram", F.col("w2").isNotNull().alias("known"))
+    per = gram.groupBy("ph", "letters", "least2").agg(F.array_sort(F.collect_list(one)).alias("g"))
+    per = per.withColumn("phrase2", F.aggregate("g", F.lit(0.0), lambda s, x: s + x["w2"]))
     asked = lambda other: F.lit(threshold * (1 - 1e-9)) * F.sqrt(F.col("phrase2") * other)
-    gram = gram.withColumn("light", F.col("upto2") < asked(F.greatest(F.col("least2"), F.lit(threshold**2) * F.col("phrase2")))).where("known")
-    gram = gram.withColumn("light2", F.max(F.when(F.col("light"), F.col("upto2")).otherwise(0.0)).over(of_phrase))
+    per = per.withColumn("need", asked(F.greatest(F.col("least2"), F.lit(threshold**2) * F.col("phrase2"))))
 
-    rare = gram.where("NOT light").select("ph", "letters", "gram", "phrase2", "light2").join(broadcast_if_small(index, size, 80), "gram")
+    def further(s: Column, x: Column) -> Column:
+        upto = s["upto"] + F.when(x["known"], x["w2"]).otherwise(0.0)
+        light = upto < F.col("need")
+        return F.struct(upto.alias("upto"), F.when(light, upto).otherwise(s["light2"]).alias("light2"), F.when(light, s["k"] + 1).otherwise(s["k"]).alias("k"))
+
+    per = per.withColumn("cut", F.aggregate("g", F.struct(F.lit(0.0).alias("upto"), F.lit(0.0).alias("light2"), F.lit(0).alias("k")), further))
+    known = lambda part: F.transform(F.filter(part, lambda x: x["known"]), lambda x: x["gram"])
+    per = per.select("ph", "letters", "phrase2", F.col("cut.light2").alias("light2"), known(F.slice("g", F.lit(1), F.col("cut.k"))).alias("light"), known(F.slice("g", F.col("cut.k") + 1, F.size("g"))).alias("rare"))
+    per = checkpointed(per).repartition(n, "ph")
+
+    rare = per.select("ph", "letters", "phrase2", "light2", F.explode("rare").alias("gram")).join(broadcast_if_small(index, size, 80), "gram")
     shortest, longest_ = _lengths(F.col("length"))
     rare = rare.where((F.col("letters") >= shortest) & (F.col("letters") <= longest_))
     met = rare.groupBy("ph", "fid").agg(F.sum("w2").alias("dot"), *(F.max(c).alias(c) for c in ("phrase2", "light2", "form2")))
     met = met.where(F.col("dot") + F.least(F.col("light2"), F.col("form2") - F.col("dot")) >= asked(F.col("form2")))
 
     # the candidates' light n-grams
-    light = gram.groupBy("ph").agg(F.collect_list(F.when(F.col("light"), F.col("gram"))).alias("light"))
     listed = broadcast_if_small(forms_, size, 60)
     shared = F.explode_outer(F.array_intersect("light", "grams")).alias("gram")
-    more = met.join(light, "ph").join(listed, "fid").select("ph", "fid", "species_id", "form", "dot", "phrase2", "form2", shared)
+    more = met.join(per.select("ph", "light"), "ph").join(listed, "fid").select("ph", "fid", "species_id", "form", "dot", "phrase2", "form2", shared)
     more = more.join(broadcast_if_small(weight, size, 40), "gram", "left").groupBy("ph", "fid", "species_id").agg((F.max("dot") + F.coalesce(F.sum("w2"), F.lit(0.0))).alias("dot"), F.max("phrase2").alias("phrase2"), F.max("form2").alias("form2"))
     scored = (
         more.withColumn("score", F.col("dot") / F.sqrt(F.col("phrase2") * F.col("form2")))
         .where(F.col("score") >= threshold)
-        .join(phrase, "ph").join(broadcast_if_small(forms_.select("fid", "form"), size, 20), "fid")
+        .join(phrase.select("ph", "phrase"), "ph").join(broadcast_if_small(forms_.select("fid", "form"), size, 20), "fid")
         .where((F.length("form") >= SHORT) | (F.col("phrase") == F.col("form")))  # a form too short to tell a slip from another word must be met exactly
         .withColumn("edits", F.least(F.levenshtein("phrase", "form"), F.lit(EDITS + 1)))
         .groupBy("ph", "species_id")
@@ -173,7 +182,7 @@ def match_values(values: DataFrame, column: str, entries: DataFrame, threshold:
     )
     # a phrase that two entries share (one word of a name) says nothing
     kept = _ahead(scored, "ph", margin)
-    claims = of_value.join(kept, "ph")
+    claims = checkpointed(of_value.join(kept, "ph"))
     # a claim within a longer one gives way to it: of "silver oak" and "great southern silver oak" the latter is meant
     long = claims.where(F.col("edits") <= EDITS).groupBy("value").agg(F.collect_list("phrase").alias("long"))
     outer = F.exists("long", lambda p: (F.length(p) > F.length("phrase")) & F.contains(p, F.col("phrase")))
