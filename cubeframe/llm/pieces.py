@@ -46,8 +46,15 @@ def _strengths(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return s
 
 
+def _check(limit: int, overlap: int) -> None:
+    """A piece must go on by a character of four bytes at least, beyond an overlap that is rounded up to a character."""
+    if not 0 <= overlap <= limit - 8:
+        raise ValueError(f"an overlap of {overlap} leaves no room in pieces of {limit}")
+
+
 def cut(sizes: np.ndarray, strengths: np.ndarray, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int]]:
     """(first character, character after the last) of each piece, overlap included."""
+    _check(limit, overlap)
     total, most = int(sizes[-1]), overlap + 3
     if total <= limit:
         return [(0, len(sizes) - 1)]
@@ -96,6 +103,7 @@ def split_text(text: str, cell_starts, limit: int = LIMIT, overlap: int = OVERLA
 
 def split_oversized(docs: DataFrame, doc: str = "doc_id", text: str = "text", cell_starts: str = "cell_starts", limit: int = LIMIT, overlap: int = OVERLAP, with_text: bool = True) -> DataFrame:
     """doc, cell_no (0: the document), piece, pieces, char_from, char_to, n_tokens and, if wanted, the piece's text."""
+    _check(limit, overlap)
 
     @F.pandas_udf(_KIND)
     def pieces(texts: pd.Series, starts: pd.Series) -> pd.Series:

@@ -58,3 +58,14 @@ def test_spark_operator(spark):
     assert all(r.text == texts[r.doc_id][r.char_from : r.char_to] and len(r.text.encode()) == r.n_tokens <= 4096 for r in out)
     assert len([r for r in out if r.doc_id == 1]) == 2 * len({(r.cell_no, r.piece) for r in out if r.doc_id == 1})
     assert pieces.split_oversized(df.where("false")).count() == 0
+
+
+def test_an_overlap_that_leaves_no_room_is_refused(spark):
+    docs = spark.createDataFrame([(1, "x" * 100, [0])], "doc_id bigint, text string, cell_starts array<int>")
+    for limit, overlap in ((10, 10), (10, 3), (10, -1), (8, 1)):
+        with pytest.raises(ValueError):
+            pieces.split_oversized(docs, limit=limit, overlap=overlap)
+    for limit, overlap in ((10, 2), (9, 0), (40, 32)):
+        rows = pieces.split_oversized(docs, limit=limit, overlap=overlap).where("cell_no = 0").orderBy("piece").collect()
+        assert rows[0].char_from == 0 and rows[-1].char_to == 100 and all(r.n_tokens <= limit for r in rows)
+        assert all(a.char_to - b.char_from >= overlap for a, b in zip(rows, rows[1:]))
